@@ -4,17 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basalt.llm import simhash
+from basalt.llm import bpe, exact, langid, mixing, quality, simhash, urlfilter
 from basalt.llm.common import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+#: Rules of op6: verdict, then host and path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def fold(folds: int, doc_id: str = "doc_id") -> Column:
+    """Rows of one id are in one fold, by crc32 of its text; null for a null id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
+
+
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold(4) == 2, F.lit(True))
+    model = langid.train(docs.filter(~held_out), order=F.xxhash64("doc_id"))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).rows
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(fold(5) == 0, F.lit(True))
+    model = quality.train(docs, labels.filter(~held_out))
+    out = quality.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ids=False)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op9_simhash,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_mixing, op6_url_filter, op7_quality, op8_byte_bpe, op9_simhash)
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+}
