@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import bpe, exact, langid, mixing, quality, simhash, urlfilter
-from basalt.llm.common import table
+from basalt.llm import ann, bpe, exact, langid, mixing, quality, simhash, tokenfile, urlfilter
+from basalt.llm.common import Scratch, table
 
 #: Rules of op6: verdict, then host and path.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -32,10 +32,21 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).rows
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Scratch(spark).new()
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, out, end_id=2)
+    return tokenfile.read(spark, out)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -58,7 +69,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_mixing, op6_url_filter, op7_quality, op8_byte_bpe, op9_simhash)
+    f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_nearest, op4_mixing, op5_token_files, op6_url_filter, op7_quality, op8_byte_bpe, op9_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
