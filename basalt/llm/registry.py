@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import ann, bpe, exact, langid, mixing, quality, simhash, tokenfile, urlfilter
+from basalt.llm import ann, bpe, exact, langid, mixing, passages, quality, simhash, tokenfile, urlfilter
 from basalt.llm.common import Scratch, table
 
 #: Rules of op6: verdict, then host and path.
@@ -68,8 +68,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(table(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_nearest, op4_mixing, op5_token_files, op6_url_filter, op7_quality, op8_byte_bpe, op9_simhash)
+    f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_nearest, op4_mixing, op5_token_files, op6_url_filter, op7_quality, op8_byte_bpe, op9_simhash, op10_passages)
 }
 
 ORACLE_SQL: dict[str, str] = {
