@@ -1,15 +1,83 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: which documents go on, and what becomes of them.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of
+documents. run() writes each stage's frame as Parquet in the shared folder and reads it as the next
+one's docs."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basalt.llm import bpe, exact, langid, mixing, simhash
+from basalt.llm.common import Scratch
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is in `kept`; of rows that repeat one, the first by its columns.
+    Ids meet by shuffle, in which a repeated id's rows combine first."""
+    first = docs.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return first.join(kept.select("doc_id").distinct(), first.doc_id.eqNullSafe(kept.doc_id), "left_semi").select("doc_id", "row.*")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters go, and those of which no language has at least half of the letters."""
+    docs = docs.select(*COLUMNS)
+    model = langid.train(docs, order=F.xxhash64("doc_id"))
+    return langid.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*COLUMNS)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the smallest doc_id stays."""
+    return one_of_each(docs, exact.groups(docs).filter("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar fingerprints, the row with the smallest doc_id stays."""
+    groups = simhash.component_ids(docs)
+    return one_of_each(docs, groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes its words: the whole part of words taken by size,
+    and once more with a chance of the fraction, decided by a hash of its id. Documents without words
+    go, as the mix can't take them."""
+    rows = mixing.mix(docs).rows.filter("taken > 0")
+    times = F.col("taken") / F.col("size")
+    whole = F.floor(times)
+    rows = rows.select("doc_id", (whole + (mixing.uniform(F.lit("copies"), "doc_id") < times - whole).cast("int")).cast("int").alias("times"))
+    rows = rows.groupBy("doc_id").agg(F.sum("times").alias("times")).filter("times > 0")
+    kept = docs.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    both = kept.join(rows.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")))
+    return both.select("doc_id", "row.*", "times").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("mixing", mixing_sources),
+    ("byte_bpe", byte_bpe),
+]
 
-STAGES: list = []
+#: Languages, fingerprints and ids aren't SQL's; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents."""
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = scratch.keep(docs)
     return docs
