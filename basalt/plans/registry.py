@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from basalt.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
-from basalt.plans import relational  # noqa: F401
+from basalt.plans import functions, multimodel, relational  # noqa: F401
