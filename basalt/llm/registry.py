@@ -81,4 +81,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op6_url_filter": """
+        WITH RECURSIVE rules(verdict, rule) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
+        r AS (SELECT verdict, rule, split_part(rule, '/', 1) AS h, substr(rule, position('/' IN rule)) AS p FROM rules),
+        links AS (
+            SELECT url, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>')) AS tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)' AS pat FROM pages
+            UNION ALL
+            SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>')), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)' FROM pages),
+        e AS (SELECT split_part(url, '#', 1) AS a, split_part(regexp_extract(tag, pat, 1), '#', 1) AS b FROM links),
+        both_ways AS (SELECT a, b FROM e WHERE b LIKE '%://%' UNION SELECT b, a FROM e WHERE b LIKE '%://%'),
+        reach(u, v) AS (SELECT a, b FROM both_ways UNION SELECT u, b FROM reach JOIN both_ways ON v = a),
+        urls AS (SELECT DISTINCT u AS url FROM (SELECT url AS u FROM pages UNION SELECT v FROM reach) t),
+        parts AS (SELECT url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM urls),
+        split AS (SELECT url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+        judged AS (SELECT url, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+            FROM split LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
+        SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+            coalesce(j.verdict, CASE WHEN EXISTS (SELECT 1 FROM reach JOIN judged b ON b.url = v WHERE u = split_part(pages.url, '#', 1) AND b.verdict = 'block') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM pages LEFT JOIN judged j ON j.url = pages.url""",
 }
