@@ -189,3 +189,39 @@ def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "id int, v array<float>")
     assert [r.id for r in vectors.knn(v, [1.0, 0.2], 2).collect()] == [1, 3]
     assert spark.range(1).select(vectors.chunks(F.lit("abcdefgh"), 4, 1)).first()[0] == ["abcd", "defg", "gh"]
+
+
+def test_models_and_sequences(spark):
+    from basalt.functions import udf
+    from basalt.operators import ml
+    from basalt.streaming import queues
+
+    d = spark.createDataFrame([(1, "cat cat dog"), (2, "dog")], "id int, t string")
+    got = {(r.doc, r.term): r.weight for r in ml.tf_idf(d, "id", "t").collect()}
+    assert got[(1, "cat")] == pytest.approx(2 / 3 * 0.6931471805599453) and got[(2, "dog")] == 0
+    x = spark.createDataFrame([(1.0, 0.0), (0.0, 3.0)], "a double, b double")
+    m = {"u": ([2.0, 0.0], 0.0), "v": ([0.0, 1.0], 0.5)}
+    assert [r[0] for r in x.select(ml.classify(["a", "b"], m)).collect()] == ["u", "v"]
+    p = x.select(*ml.softmax(["a", "b"], m).values()).first()
+    assert sum(p) == pytest.approx(1) and p[0] == pytest.approx(0.8175744761936437)
+    n = ml.next_values(spark.range(1000).select((F.col("id") * 37 % 1000).alias("k")), ["k"], 10, 5, 7)
+    assert rows(n) == [(k, 10 + 5 * k) for k in range(1000)] or sorted(map(tuple, n.collect())) == [(k, 10 + 5 * k) for k in range(1000)]
+    udf.install(spark)
+    assert rows(spark.sql("SELECT n FROM generate_series_rows(5, 1, -2)")) == [(1,), (3,), (5,)]
+    v = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "k string, v double")
+    assert rows(v.groupBy("k").agg(udf.aggregate(lambda s: float(s.max() - s.min()), "double")("v").alias("r"))) == [("a", 2.0), ("b", 0.0)]
+    jobs = spark.createDataFrame([(1, 5), (2, 9), (3, 1)], "job int, priority int")
+    tries = spark.createDataFrame([(1, True), (3, False), (3, False)], "job int, ok boolean")
+    assert [r.job for r in queues.runnable(jobs, tries, 2).collect()] == [2] and rows(queues.dead_letters(jobs, tries, 2)) == [(3, 1)]
+
+
+def test_channels(spark, tmp_path):
+    from basalt.streaming import queues
+
+    c, seen = queues.Channels(spark, str(tmp_path / "c")), []
+    c.publish("a", "1", "2")
+    c.publish("b", "3")
+    for _ in range(2):
+        c.subscribe("a", str(tmp_path / "check"), lambda df, n: seen.extend(r.payload for r in df.collect())).awaitTermination()
+        c.publish("a", "4")
+    assert sorted(seen) == ["1", "2", "4"] and c.channels().count() == 2
