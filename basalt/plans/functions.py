@@ -80,7 +80,7 @@ added("geo_area_point", "SELECT n_nationkey, geo_area(array(0D, 4D, 4D, 0D), arr
 # Vectors (2.8.7, 2.8.10, 2.8.16).
 added("vector_distances", "SELECT a.vec_id AS a, b.vec_id AS b, l2_distance(CAST(a.embedding AS ARRAY<DOUBLE>), CAST(b.embedding AS ARRAY<DOUBLE>)) AS l2, cosine_distance(CAST(a.embedding AS ARRAY<DOUBLE>), CAST(b.embedding AS ARRAY<DOUBLE>)) AS cos, inner_product(CAST(a.embedding AS ARRAY<DOUBLE>), CAST(b.embedding AS ARRAY<DOUBLE>)) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1", "SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS l2, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 added("vector_norms", "SELECT vec_id, vector_dims(CAST(embedding AS ARRAY<DOUBLE>)) AS d, vector_norm(vector_normalize(CAST(embedding AS ARRAY<DOUBLE>))) AS n FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS INT) AS d, 1.0::DOUBLE AS n FROM embeddings")
-added("sparse_dot", "SELECT n_nationkey, sparse_dot_product(map(1, CAST(n_nationkey AS DOUBLE), 2, 2D), map(2, 3D, 1, 0.5D, 7, 9D)) AS d FROM nation", "SELECT n_nationkey, n_nationkey * 0.5 + 6.0 AS d FROM nation")
+added("sparse_dot", "SELECT n_nationkey, sparse_dot_product(map(1, CAST(n_nationkey AS DOUBLE), 2, 2D), map(2, 3D, 1, 0.5D, 7, 9D)) AS d FROM nation", "SELECT n_nationkey, CAST(n_nationkey * 0.5 + 6.0 AS DOUBLE) AS d FROM nation")
 
 # Hashes, encodings, arrays (2.8.12, 2.8.15).
 sql("fn_hashes", "SELECT doc_id, md5(text) AS m, sha2(text, 256) AS s FROM documents", "SELECT doc_id, md5(text) AS m, sha256(text) AS s FROM documents")

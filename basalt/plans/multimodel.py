@@ -43,12 +43,12 @@ GEO = "SELECT s_suppkey AS id, (s_suppkey * 37 % 1200) / 10.0 - 60 AS lat, (s_su
 @query(
     "radius_join",
     f"""SELECT a.id AS a, b.id AS b FROM ({GEO}) a JOIN ({GEO}) b ON a.id < b.id AND 2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2)
-        + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 400000""",
+        + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 1500000""",
 )
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = run_sql(spark, sf_dir, GEO).select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     b = at.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    return joins.radius_join(at.withColumnRenamed("id", "a"), b, 400_000, "lat", "lon", "lat_b", "lon_b", 61.0).filter("a < b").select("a", "b")
+    return joins.radius_join(at.withColumnRenamed("id", "a"), b, 1_500_000, "lat", "lon", "lat_b", "lon_b", 61.0).filter("a < b").select("a", "b")
 
 
 # Time series (2.10).

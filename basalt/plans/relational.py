@@ -59,9 +59,9 @@ sql("try_casts", "SELECT p_partkey, try_cast(split(p_brand, '#')[1] AS INT) AS b
 sql("array_any_all", "SELECT p_partkey, exists(array(1, 5, 10), x -> x = p_size % 11) AS any_equal, forall(array(1, 5, 10), x -> x > p_size % 11) AS all_more FROM part", "SELECT p_partkey, p_size % 11 = ANY([1, 5, 10]) AS any_equal, p_size % 11 < ALL([1, 5, 10]) AS all_more FROM part")
 sql("array_subscript", "SELECT p_partkey, element_at(array(p_brand, p_type, p_name), 2) AS second FROM part", "SELECT p_partkey, [p_brand, p_type, p_name][2] AS second FROM part")
 sql("exists_correlated", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
-sql("not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+sql("not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 300000)")
 sql("in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
-sql("not_in_subquery", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)")
+sql("not_in_subquery", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.05)")
 sql("scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
 sql("scalar_subquery_correlated", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer")
 sql("string_special_forms", "SELECT p_partkey, trim(BOTH 'a' FROM p_name) AS t, substring(p_name, 2, 4) AS s, position('e' IN p_name) AS at, overlay(p_name PLACING 'XY' FROM 2 FOR 3) AS o FROM part", "SELECT p_partkey, trim(p_name, 'a') AS t, substring(p_name, 2, 4) AS s, position('e' IN p_name) AS at, substr(p_name, 1, 1) || 'XY' || substr(p_name, 5) AS o FROM part")
@@ -81,7 +81,7 @@ sql("join_cross", "SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN
 sql("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_name > b.n_name")
 sql("join_theta_left", "SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM region a LEFT JOIN region b ON a.r_regionkey < b.r_regionkey - 1")
 sql("join_semi", "SELECT c_custkey, c_name FROM customer LEFT SEMI JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'", "SELECT c_custkey, c_name FROM customer SEMI JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'")
-sql("join_anti", "SELECT p_partkey FROM part LEFT ANTI JOIN lineitem ON l_partkey = p_partkey AND l_discount > 0.05", "SELECT p_partkey FROM part ANTI JOIN lineitem ON l_partkey = p_partkey AND l_discount > 0.05")
+sql("join_anti", "SELECT p_partkey FROM part LEFT ANTI JOIN lineitem ON l_partkey = p_partkey AND l_discount > 0.05 AND l_quantity > 48", "SELECT p_partkey FROM part ANTI JOIN lineitem ON l_partkey = p_partkey AND l_discount > 0.05 AND l_quantity > 48")
 sql("join_comma", "SELECT n_name, count(*) AS n FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name <> 'ASIA' GROUP BY n_name")
 sql("join_lateral", "SELECT c_custkey, t.o_orderkey, t.o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
 sql("join_lateral_left", "SELECT n_nationkey, t.n FROM nation LEFT JOIN LATERAL (SELECT count(*) AS n FROM supplier WHERE s_nationkey = n_nationkey HAVING count(*) > 3) t ON true")
