@@ -27,9 +27,14 @@ class Mix:
     rows: DataFrame
 
 
+def number(*parts) -> F.Column:  # noqa: ANN002
+    """A pseudorandom integer of 52 bits that depends on `parts` only, nulls left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long")
+
+
 def uniform(*parts) -> F.Column:  # noqa: ANN002
     """A pseudorandom number from 0 to 1 that depends on `parts` only."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
+    return number(*parts) / float(1 << 52)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -76,7 +81,7 @@ def mix(
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("key")
-    rows = scratch.keep(rows.select("*", key, F.xxhash64(F.lit(seed), "doc_id").alias("place")))
+    rows = scratch.keep(rows.select("*", key, number(F.lit(seed), F.col("doc_id")).alias("place")))
 
     sizes = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     sources = targets(sizes, weights, cap)
@@ -122,7 +127,7 @@ def mix(
     slots = counts.select("shard", "key", "n_blocks", F.posexplode(F.sequence("begin", F.col("begin") + F.col("n") - 1)).alias("slot", "j"))
     slots = slots.filter(F.col("j") < F.col("n_blocks") * int(cap))
     turn = F.floor(F.col("j") / F.col("n_blocks"))
-    shift = F.pmod(F.xxhash64(F.lit(seed), "key", turn), F.col("n_blocks"))
+    shift = F.pmod(number(F.lit(seed), F.col("key"), turn), F.col("n_blocks"))
     step = F.pmod(F.lit(PRIME), F.col("n_blocks"))
     index = F.pmod(F.pmod(F.col("j"), F.col("n_blocks")) * step + shift, F.col("n_blocks"))
     slots = slots.select("shard", "slot", "key", index.alias("block"))

@@ -81,6 +81,38 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op4_mixing": """
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, coalesce('=' || source, '') AS key,
+                CAST('0x' || substr(md5(concat_ws('|', '0', CAST(doc_id AS VARCHAR))), 1, 13) AS BIGINT) AS place FROM documents),
+        s0 AS (SELECT key, source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY key, source),
+        s1 AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w, CAST(source_size * 3 AS DOUBLE) AS cap FROM s0),
+        s2 AS (SELECT *, cap / w AS fill FROM s1),
+        s3 AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(w) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+        s4 AS (SELECT key, source_size, coalesce(least(cap, w * (SELECT level FROM s3 WHERE fill >= level ORDER BY fill, level LIMIT 1)), cap) AS target,
+                (source_size + 63) // 64 AS n_blocks FROM s3),
+        s AS (SELECT *, CASE WHEN source_size > 0 THEN target * n_blocks / source_size ELSE 0 END AS n_slots FROM s4),
+        n AS (SELECT greatest(1, (CAST(floor(sum(n_slots)) AS BIGINT) + 4095) // 4096) AS n_shards FROM s),
+        shards AS (SELECT unnest(range(n_shards)) AS shard FROM n),
+        packed AS (SELECT doc_id, key, size, CAST(coalesce(sum(size) OVER (PARTITION BY key ORDER BY place % 1024, place, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+                FROM d WHERE size > 0),
+        segments AS (SELECT *, least(start + size, (block + 1) * 64) - greatest(start, block * 64) AS words
+                FROM (SELECT *, unnest(range(start // 64, (start + size - 1) // 64 + 1)) AS block FROM packed) t),
+        e AS (SELECT key, n_blocks, n_slots / n_shards AS each, floor(n_slots / n_shards) AS whole, n_slots / n_shards - floor(n_slots / n_shards) AS fraction FROM s, n WHERE n_slots > 0),
+        ends AS (SELECT key, fraction, sum(fraction) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING) AS hi FROM e),
+        t AS (SELECT coalesce(max(hi), 0.0) AS total FROM ends),
+        draws AS (SELECT shard, total * CAST('0x' || substr(md5(concat_ws('|', '0', CAST(shard AS VARCHAR), CAST(draw AS VARCHAR))), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+                FROM (SELECT shard, total, unnest(range(1, CAST(floor(total) AS BIGINT) + 2)) AS draw FROM shards, t) x
+                WHERE draw <= floor(total) + CAST(CAST('0x' || substr(md5(concat_ws('|', '0', CAST(shard AS VARCHAR), 'n')), 1, 13) AS BIGINT) / 4503599627370496.0 < total - floor(total) AS INT)),
+        hits AS (SELECT shard, key, count(*) AS more FROM draws JOIN ends ON hi - fraction <= u AND u < hi GROUP BY shard, key),
+        counts AS (SELECT shard, key, n_blocks, CAST(whole AS BIGINT) + coalesce(more, 0) AS n FROM e CROSS JOIN shards LEFT JOIN hits USING (shard, key)),
+        begins AS (SELECT *, CAST(sum(n) OVER (PARTITION BY key ORDER BY shard) AS BIGINT) - n AS begin FROM counts),
+        slots AS (SELECT key, n_blocks, unnest(range(begin, begin + n)) AS j FROM begins WHERE n > 0),
+        times AS (SELECT key, (j % n_blocks * (2147483647 % n_blocks) + CAST('0x' || substr(md5(concat_ws('|', '0', key, CAST(j // n_blocks AS VARCHAR))), 1, 13) AS BIGINT) % n_blocks) % n_blocks AS block, count(*) AS times
+                FROM slots WHERE j < n_blocks * 3 GROUP BY ALL),
+        taken AS (SELECT key, start, CAST(sum(words * times) AS BIGINT) AS taken FROM segments JOIN times USING (key, block) GROUP BY key, start)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM packed LEFT JOIN taken USING (key, start) JOIN s USING (key)
+        UNION ALL SELECT doc_id, size, source_size, target, 0 FROM d JOIN s USING (key) WHERE size = 0""",
     "op6_url_filter": """
         WITH RECURSIVE rules(verdict, rule) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
         r AS (SELECT verdict, rule, split_part(rule, '/', 1) AS h, substr(rule, position('/' IN rule)) AS p FROM rules),

@@ -48,7 +48,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows = mixing.mix(docs).rows.filter("taken > 0")
     times = F.col("taken") / F.col("size")
     whole = F.floor(times)
-    rows = rows.select("doc_id", (whole + (mixing.uniform(F.lit("copies"), "doc_id") < times - whole).cast("int")).cast("int").alias("times"))
+    rows = rows.select("doc_id", (whole + (mixing.uniform(F.lit("copies"), F.col("doc_id")) < times - whole).cast("int")).cast("int").alias("times"))
     rows = rows.groupBy("doc_id").agg(F.sum("times").alias("times")).filter("times > 0")
     kept = docs.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
     both = kept.join(rows.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")))
