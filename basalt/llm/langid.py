@@ -28,6 +28,8 @@ SCRIPTS = [
 STARTS = [a for a, _ in SCRIPTS]
 #: Words whose scores one worker remembers.
 REMEMBERED = 400_000
+#: Characters of texts that are labelled side by side, about.
+AT_ONCE = 4_000_000
 #: Longest run of letters scored as one word; longer ones, as in scripts without spaces, are cut.
 LONGEST = 64
 
@@ -60,78 +62,80 @@ class Model:
     prior: int = 0
     penalty: float = 8.0
     cache: dict[str, int] = field(default_factory=dict)
-    rows: np.ndarray | None = None
-    used: int = 0
-
-    def score(self, word: str) -> np.ndarray:
-        """One score for each language; those that don't use the word's script are ruled out, unless none does."""
-        total = np.zeros(len(self.langs))
-        for g in grams(word):
-            total += self.scores.get(g, self.unseen)
-        total /= 3  # each letter is in about three runs
-        able = self.scripts.get(script(word[0]))
-        if able is None:
-            return np.zeros(len(self.langs), np.float32)
-        total[[k for k in range(len(self.langs)) if k not in able]] = -1e4
-        return np.maximum(total - total.max(), -50.0).astype(np.float32)
-
-    def index(self, word: str) -> int:
-        if self.rows is None or self.used >= REMEMBERED:
-            self.rows, self.used = np.zeros((REMEMBERED, len(self.langs)), np.float32), 0
-            self.cache.clear()
-        k = self.cache[word] = self.used
-        self.rows[k] = self.score(word)
-        self.used += 1
-        return k
-
-    def matrix(self, found: list[str]) -> np.ndarray:
-        """Scores of the words of a text."""
-        if self.used + len(set(found)) > REMEMBERED:  # a text's indices must hold until they are used
-            self.cache.clear()
-            self.used = 0
-        if len(set(found)) > REMEMBERED:
-            return np.stack([self.score(w) for w in found])
-        get, new = self.cache.get, self.index
-        k = [get(w) for w in found]
-        if None in k:
-            k = [new(w) if (i := get(w)) is None else i for w in found]
-        return self.rows[k]
-
-    def label(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
-        """Words of each text and their languages, by Viterbi over all texts side by side: staying in a
-        language costs nothing, switching costs the penalty."""
-        found = [words(t) if t else [] for t in texts]
-        order = sorted(range(len(texts)), key=lambda i: -len(found[i]))
-        order = [i for i in order if found[i]]
+
+    def score(self, found: list[str]) -> np.ndarray:
+        """A row of scores for each word, one for each language; those that don't use the word's script
+        are ruled out, unless none does."""
+        if "table" not in self.__dict__:
+            self.place = {g: i for i, g in enumerate(self.scores)}
+            self.table = np.array([*self.scores.values(), self.unseen], np.float32)
+        get, none = self.place.get, len(self.place)
+        flat = [get(g, none) for w in found for g in grams(w)]
+        n = np.array([3 * len(w) + 4 for w in found])  # runs of one, two, three letters of <word>, and the word
+        total = np.add.reduceat(self.table[flat], np.cumsum(n) - n, axis=0) / 3  # each letter is in about three runs
+        for k, w in enumerate(found):
+            able = self.scripts.get(script(w[0]))
+            if able is None:
+                total[k] = 0
+            elif len(able) < len(self.langs):
+                total[k, [i for i in range(len(self.langs)) if i not in able]] = -1e4
+        return np.maximum(total - total.max(1, keepdims=True), -50.0)
+
+    def index(self, found: list[list[str]]) -> list[np.ndarray]:
+        """Where the words of each text are in rows (scores), letters and known (script of a language)."""
+        for _ in range(2):
+            got = [list(map(self.cache.get, f)) for f in found]
+            new = list(dict.fromkeys(w for f, k in zip(found, got) if None in k for w, i in zip(f, k) if i is None))
+            if self.cache and len(self.cache) + len(new) > REMEMBERED:
+                self.cache.clear()
+                continue
+            break
+        if new:
+            used = len(self.cache)
+            self.cache.update(zip(new, range(used, used + len(new))))
+            parts = [self.score(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
+            fresh = (np.concatenate(parts).astype(np.float32), np.array([len(w) for w in new]), np.array([script(w[0]) in self.scripts for w in new]))
+            if not used or used + len(new) > len(self.rows):
+                room = max(REMEMBERED, used + len(new)) if used else max(2 * len(new), 1)
+                old = (self.rows[:used], self.letters[:used], self.known[:used]) if used else tuple(a[:0] for a in fresh)
+                self.rows, self.letters, self.known = (np.concatenate([a, np.zeros((room - used, *b.shape[1:]), b.dtype)]) for a, b in zip(old, fresh))
+            for a, b in zip((self.rows, self.letters, self.known), fresh):
+                a[used : used + len(new)] = b
+            got = [list(map(self.cache.get, f)) if None in k else k for f, k in zip(found, got)]
+        return [np.array(k, np.int64) for k in got]
+
+    def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Where the words of each text are, and their languages, by Viterbi over all texts side by
+        side: staying in a language costs nothing, switching costs the penalty."""
+        found = self.index([words(t) if t else [] for t in texts])
+        order = sorted((i for i in range(len(texts)) if len(found[i])), key=lambda i: -len(found[i]))
         out = [(f, np.empty(0, np.int8)) for f in found]
         if not order:
             return out
         lens = np.array([len(found[i]) for i in order])
         starts = np.cumsum(lens) - lens
-        s = np.concatenate([self.matrix(found[i]) for i in order])
+        s = self.rows[np.concatenate([found[i] for i in order])]
         longest = int(lens[0])
-        active = np.searchsorted(-lens, -np.arange(longest), side="left")  # texts with over t words
+        active = np.searchsorted(-lens, -np.arange(longest), side="left").tolist()  # texts with over t words
         moved = np.zeros(len(s), np.int8)  # the best language before each word
         stays = np.zeros((len(s), len(self.langs)), bool)
         v = s[starts].copy()
         for t in range(1, longest):
             n = active[t]
             at, head = starts[:n] + t, v[:n]
-            best = head.argmax(1)
-            top = head[np.arange(n), best] - self.penalty
-            stay = head >= top[:, None]
-            v[:n] = np.where(stay, head, top[:, None]) + s[at]
-            v[:n] -= v[:n].max(1, keepdims=True)
-            moved[at], stays[at] = best, stay
-        state = v.argmax(1).astype(np.int8)
+            top = head.max(1, keepdims=True)
+            moved[at] = head.argmax(1)
+            head -= top
+            stays[at] = head >= -self.penalty
+            np.maximum(head, -self.penalty, out=head)
+            head += s[at]
         path = np.empty(len(s), np.int8)
-        path[starts + lens - 1] = state
+        path[starts + lens - 1] = v.argmax(1)
         for t in range(longest - 1, 0, -1):
-            n = active[t]
-            at = starts[:n] + t
+            at = starts[: active[t]] + t
             now = path[at]
             path[at - 1] = np.where(stays[at, now], now, moved[at])
-        for i, a, n in zip(order, starts, lens):
+        for i, a, n in zip(order, starts.tolist(), lens.tolist()):
             out[i] = (found[i], path[a : a + n])
         return out
 
@@ -139,12 +143,11 @@ class Model:
         """The language of most letters, and their share of the letters; without letters und, 0.
         Ties go to the language first in order. If no language uses the script, the commonest, 0."""
         out = []
-        for found, path in self.label(texts):
-            if not found:
+        for k, path in self.label(texts):
+            if not len(k):
                 out.append(("und", 0.0))
                 continue
-            n = np.array([len(w) for w in found])
-            known = np.array([script(w[0]) in self.scripts for w in found])
+            n, known = self.letters[k], self.known[k]
             if not known.any():
                 out.append((self.langs[self.prior], 0.0))
                 continue
@@ -164,8 +167,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column
     by default a hash of the text. Their whole texts are counted on the executors; only counts of runs
     of letters come back, so the model's size is bounded by the sample. None if there is nothing to
     learn from. Words count once in each text, so that repetition doesn't distort shares."""
-    kept = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    kept = kept.orderBy(F.xxhash64("text") if order is None else order, "text", "lang").limit(sample)
+    place = F.xxhash64(text) if order is None else order
+    kept = docs.select(place.alias("place"), F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
+    last = kept.select("place").orderBy("place").limit(sample).agg(F.max("place")).first()[0]  # places alone are sorted
+    kept = kept.filter(F.col("place") <= F.lit(last)).orderBy("place", "text", "lang").limit(sample).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[tuple[str, str]] = Counter()
@@ -206,11 +211,15 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         model = shared.value
         for b in batches:
             lang, score = [], []
-            for lo in range(0, len(b), 2000):
-                part = b[lo : lo + 2000]
-                got = model.predict(part.to_pylist()) if model else [("und", 0.0)] * len(part)
-                lang += [x for x, _ in got]
-                score += [x for _, x in got]
+            texts, size = [], 0
+            for k, t in enumerate(b.to_pylist()):
+                texts.append(t)
+                size += len(t or "")
+                if size >= AT_ONCE or k == len(b) - 1:
+                    got = model.predict(texts) if model else [("und", 0.0)] * len(texts)
+                    lang += [x for x, _ in got]
+                    score += [x for _, x in got]
+                    texts, size = [], 0
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     take = F.arrow_udf(_typed(run), "lang_pred string, score double")
