@@ -11,7 +11,6 @@ expanding its own symbols."""
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: White space at which texts are cut into chunks that are tokenized, and remembered, one by one.
-CUT = re.compile("[ \n\t\r]+")
+#: Marks at the end of a chunk that are looked up apart from a word of letters before them.
+MARKS = ".,;:!?*%&$#"
 #: Chunks remembered by one worker.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 MAGIC = b"RPG1"
 #: Slots of the table that finds a pair's rule in a round.
 SLOTS = 1 << 20
@@ -48,21 +47,72 @@ def tokenizer(path: str) -> Encoder:
     return _loaded[path]
 
 
+def encode_new(t: object, known: dict[str, bytes], new: list[str]) -> None:
+    """Encode chunks. Letters that end a chunk of letters and then marks are a word of their own, in
+    lower case like all words, so the library sees each such word once; many go to it in one text, in
+    which they come out one by one at the ends that the library marks."""
+    split: dict[str, tuple[str, str]] = {}
+    words: dict[str, None] = {}
+    other: list[str] = []
+    for c in new:
+        head = c.rstrip(MARKS)
+        if head.isalpha() and head.isascii():
+            split[c] = (head.lower(), c[len(head) :])
+            words[split[c][0]] = None
+            if c != head:
+                words[split[c][1]] = None
+        else:
+            other.append(c)
+    need = [w for w in words if w not in known]
+    letters = [w for w in need if w.isalpha()]
+    other += [w for w in need if not w.isalpha()]
+    ends = final_ids(t)
+    for lo in range(0, len(letters), 2000):
+        part = letters[lo : lo + 2000]
+        ids = np.array(t.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(ends[ids]) + 1
+        if len(cut) != len(part):
+            raise ValueError("the tokenizer doesn't mark ends of words")
+        for w, a in zip(part, np.split(ids, cut[:-1])):
+            known[w] = a.tobytes()
+    for lo in range(0, len(other), 50_000):
+        part = other[lo : lo + 50_000]
+        for c, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)):
+            known[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    for c, (head, marks) in split.items():
+        known[c] = known[head] + known[marks] if marks else known[head]
+
+
+_finals: dict[int, np.ndarray] = {}
+
+
+def final_ids(t: object) -> np.ndarray:
+    """Whether each id ends a word, by the tokenizer's own suffix."""
+    if id(t) not in _finals:
+        suffix = t.model.end_of_word_suffix
+        vocabulary = t.get_vocab()
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+        _finals[id(t)] = out
+    return _finals[id(t)]
+
+
 def tokenize(path: str, texts: list[str | None]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, for tokenizers that drop white space
     before they look for words, so that what stands between white space is encoded alike anywhere."""
     t, known = tokenizer(path)
-    cut = [CUT.split(x or "") for x in texts]
-    new = list({c for x in cut for c in x} - known.keys())
-    if len(known) + len(new) > REMEMBERED:
+    if len(known) > REMEMBERED:
         known.clear()
         known[""] = b""
-        new = list({c for x in cut for c in x} - known.keys())
-    for lo in range(0, len(new), 50_000):
-        part = new[lo : lo + 50_000]
-        for c, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)):
-            known[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-    return [b"".join([known[c] for c in x]) for x in cut]
+    cut = [(x or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
+    got = [list(map(known.get, x)) for x in cut]
+    gaps = [(x, g, [i for i, b in enumerate(g) if b is None]) for x, g in zip(cut, got) if None in g]
+    if gaps:
+        encode_new(t, known, list(dict.fromkeys(x[i] for x, _, at in gaps for i in at)))
+        for x, g, at in gaps:
+            for i in at:
+                g[i] = known[x[i]]
+    return list(map(b"".join, got))
 
 
 @dataclass
@@ -74,20 +124,48 @@ class Grammar:
     sequence: np.ndarray
     starts: np.ndarray  # of each document, in the sequence
     tokens: np.ndarray  # of each document
+    known: tuple[np.ndarray, np.ndarray] | None = None
+
+    def rules(self) -> tuple[np.ndarray, np.ndarray]:
+        """The expansions of all rules end to end, and where each begins. Rules refer to earlier ones
+        only, so they are worked out in stretches that don't refer to themselves."""
+        n = self.lengths.astype(np.int64)
+        begin = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), np.uint32)
+        lo, latest = 0, np.maximum.accumulate(np.maximum(self.left, self.right).astype(np.int64)) if len(n) else n
+        while lo < len(n):
+            hi = int(np.searchsorted(latest, self.first + lo))
+            for side, at in ((self.left[lo:hi], begin[lo:hi]), (self.right[lo:hi], begin[lo:hi] + self.sizes(self.left[lo:hi]))):
+                out_at, got = self.copy(side, out, begin)
+                shift = at - (np.cumsum(self.sizes(side)) - self.sizes(side))
+                out[out_at + np.repeat(shift, self.sizes(side))] = got
+            lo = hi
+        return out, begin
+
+    def sizes(self, symbols: np.ndarray) -> np.ndarray:
+        big = symbols >= self.first
+        out = np.ones(len(symbols), np.int64)
+        out[big] = self.lengths[symbols[big].astype(np.int64) - self.first]
+        return out
+
+    def copy(self, symbols: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places 0, 1, … and the ids there, for symbols that stand end to end."""
+        n = self.sizes(symbols)
+        end = np.cumsum(n)
+        out = np.repeat(symbols.astype(np.uint32), n)
+        big = np.flatnonzero(symbols >= self.first)
+        place = np.arange(int(end[-1]) if len(end) else 0)
+        if len(big):
+            m = n[big]
+            inside = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            to = np.repeat(end[big] - m, m) + inside
+            out[to] = flat[np.repeat(begin[symbols[big].astype(np.int64) - self.first], m) + inside]
+        return place, out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Rules refer to earlier rules only, so the latest symbols are undone until none is left."""
-        s = symbols
-        while True:
-            big = s >= self.first
-            if not big.any():
-                return s
-            out = np.repeat(s, 1 + big)
-            at = np.flatnonzero(big)
-            at = at + np.arange(len(at))
-            r = out[at].astype(np.int64) - self.first
-            out[at], out[at + 1] = self.left[r], self.right[r]
-            s = out
+        if self.known is None:
+            self.known = self.rules()
+        return self.copy(symbols, *self.known)[1]
 
     def document(self, d: int) -> np.ndarray:
         end = self.starts[d + 1] if d + 1 < len(self.starts) else len(self.sequence)
@@ -98,60 +176,64 @@ def compress(tokens: np.ndarray, counts: np.ndarray, first: int, least: int = 4,
     """Re-Pair: replace frequent pairs by new symbols, again and again, until no pair occurs `least`
     times or `rounds` are over. One round takes all pairs at least 1/32 as frequent as the most
     frequent one; where chosen pairs overlap, the more frequent wins, in runs of one symbol every other."""
-    s = tokens.astype(np.uint64)
+    s = tokens.astype(np.uint32)
     starts = np.cumsum(counts) - counts
-    ends = np.zeros(len(s), bool)
-    ends[starts[counts > 0] + counts[counts > 0] - 1] = True
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     made = first
+    never = np.uint64(0xFFFFFFFFFFFFFFFF)
     for _ in range(rounds):
         if len(s) < 2:
             break
-        key = s[:-1] << np.uint64(32) | s[1:]
-        inner = ~ends[:-1]
-        ordered = np.sort(key[inner])
-        edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, int)
-        n = np.diff(np.r_[edge, len(ordered)])
+        key = s[:-1].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= s[1:]
+        last = starts[1:] - 1
+        key[last[(last >= 0) & (last < len(key))]] = never  # no pair spans two documents
+        ordered = np.sort(key)
+        edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+        edge = np.concatenate([[0], edge])
+        n = np.diff(edge, append=len(ordered))
+        if ordered[-1] == never:
+            edge, n = edge[:-1], n[:-1]
         if not len(n) or n.max() < least:
             break
-        few = n >= max(least, int(n.max()) // 32)
+        few = np.flatnonzero(n >= max(least, int(n.max()) // 32))
         pairs, n = ordered[edge[few]], n[few]
         pairs = pairs[np.argsort(-n, kind="stable")]
-        slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
         table = np.full(SLOTS, -1, np.int32)
         table[slot(pairs[::-1])] = np.arange(len(pairs) - 1, -1, -1)  # in a shared slot the more frequent stays
         rank = table[slot(key)]
-        hit = (rank >= 0) & inner
-        hit[hit] = pairs[rank[hit]] == key[hit]
-        at = np.flatnonzero(hit)
+        at = np.flatnonzero(rank >= 0)
         r = rank[at].astype(np.int64)
-        run = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(r) != 0)])
-        odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) & 1
-        value = r * 2 + odd
+        same = pairs[r] == key[at]
+        at, r = at[same], r[same]
         beside = np.diff(at) == 1
+        run = np.flatnonzero(np.concatenate([[True], ~beside | (np.diff(r) != 0)]))
+        odd = (np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) & 1
+        value = r * 2 + odd
         wins = np.ones(len(at), bool)
         wins[1:] &= ~beside | (value[1:] < value[:-1])
         wins[:-1] &= ~beside | (value[:-1] < value[1:])
         at, r = at[wins], r[wins]
-        used, r = np.unique(r, return_inverse=True)
+        hits = np.bincount(r, minlength=len(pairs)) > 0
+        used, name = np.flatnonzero(hits), np.cumsum(hits) - 1
         left.append((pairs[used] >> np.uint64(32)).astype(np.uint32))
         right.append((pairs[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        s[at] = (made + r).astype(np.uint64)
+        s[at] = (made + name[r]).astype(np.uint32)
         made += len(used)
-        ends[at] = ends[at + 1]
+        starts = starts - np.searchsorted(at, starts)  # each pair replaced before a start moves it by one
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
-        shift = np.r_[0, np.cumsum(stay)]
-        starts = shift[starts]
-        s, ends = s[stay], ends[stay]
+        s = s[stay]
     lengths = np.ones(made, np.uint32)
     base = first
     for a, b in zip(left, right):
         lengths[base : base + len(a)] = lengths[a] + lengths[b]
         base += len(a)
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.uint32)
-    return Grammar(first, join(left), join(right), lengths[first:], s.astype(np.uint32), starts, counts)
+    return Grammar(first, join(left), join(right), lengths[first:], s, starts, counts)
 
 
 def pack(g: Grammar, ids: list[int | None]) -> bytes:
