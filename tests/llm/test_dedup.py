@@ -161,3 +161,42 @@ def test_passages(spark):
     one = next(r for r in got if (r.doc_id, r.other_id) == (4, 5))
     assert (one.start_word, one.n_words, one.other_start, one.copy) == (25, 120, 0, False) and 0.9 < one.similarity < 1
     assert passages.near_passages(frame(spark, [])).count() == 0
+
+
+def test_alignment_needs_no_link_in_each_run():
+    words = [f"w{i}" for i in range(54)]
+    edited = [*words[:45], "changed", *words[46:]]
+    x, y = (passages.shingles(passages.words(" ".join(w)), 5) for w in (words, edited))
+    assert passages.align(x, y, [(3, 3)], 5, 50, 0.8) == [(0, 54, 0, 54, 45 / 55)]
+
+
+def test_alignment_against_all_windows():
+    rng, least, width = random.Random(5), 12, 3
+    span = least - width + 1
+
+    def jaccard(u, v):
+        return len(u & v) / len(u | v)
+
+    def windows(x):
+        return [set(x[i:j].tolist()) for i in range(len(x)) for j in range(i + span, len(x) + 1)]
+
+    similar = 0
+    for t in range(150):
+        a = [f"w{rng.randrange(30 if t % 3 == 0 else 10000)}" for _ in range(rng.randrange(13, 22))]
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randrange(2)] = [f"z{t}{i}"] * rng.randrange(2) if len(b) > least else [f"z{t}{i}"]
+        b = [f"y{i}" for i in range(rng.randrange(6))] + b
+        x, y = (passages.shingles(passages.words(" ".join(w)), width) for w in (a, b))
+        equal = [(i, j) for i in range(len(x)) for j in range(len(y)) if x[i] == y[j]]
+        if not equal:
+            continue
+        got = passages.align(x, y, [rng.choice(equal)], width, least, 0.8)
+        best = max((jaccard(u, v) for u in windows(x) for v in windows(y)), default=0)
+        assert bool(got) == (best >= 0.8), (a, b)
+        similar += best >= 0.8
+        for p, n, q, m, s in got:
+            u, v = set(x[p : p + n - width + 1].tolist()), set(y[q : q + m - width + 1].tolist())
+            assert min(n, m) >= least and p + n <= len(a) and q + m <= len(b) and s == jaccard(u, v) >= 0.8
+    assert 50 < similar < 150
