@@ -1,6 +1,8 @@
 """Exact and near duplicates and passages, against brute force."""
 
 import hashlib
+import inspect
+import math
 import random
 
 import numpy as np
@@ -200,3 +202,9 @@ def test_alignment_against_all_windows():
             u, v = set(x[p : p + n - width + 1].tolist()), set(y[q : q + m - width + 1].tolist())
             assert min(n, m) >= least and p + n <= len(a) and q + m <= len(b) and s == jaccard(u, v) >= 0.8
     assert 50 < similar < 150
+
+
+def test_chance_that_windows_meet():
+    p = inspect.signature(passages.near_passages).parameters
+    n, k, s = (p[name].default for name in ("hashes", "agree", "similarity"))
+    assert sum(math.comb(n, i) * s**i * (1 - s) ** (n - i) for i in range(k, n + 1)) > 0.99
