@@ -208,3 +208,9 @@ def test_chance_that_windows_meet():
     p = inspect.signature(passages.near_passages).parameters
     n, k, s = (p[name].default for name in ("hashes", "agree", "similarity"))
     assert sum(math.comb(n, i) * s**i * (1 - s) ** (n - i) for i in range(k, n + 1)) > 0.99
+
+
+def test_repeated_lines_give_one_passage():
+    line = [f"w{i}" for i in range(12)]
+    x = passages.shingles(passages.words(" ".join(line * 20)), 5)
+    assert passages.align(x, x.copy(), [(0, 0), (12, 24)], 5, 50, 0.8) == [(0, 240, 0, 240, 1.0)]
