@@ -16,11 +16,16 @@ from basalt.llm.common import Scratch
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is in `kept`; of rows that repeat one, the first by its columns.
-    Ids meet by shuffle, in which a repeated id's rows combine first."""
-    first = docs.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
-    return first.join(kept.select("doc_id").distinct(), first.doc_id.eqNullSafe(kept.doc_id), "left_semi").select("doc_id", "row.*")
+def one_of_each(docs: DataFrame, kept: DataFrame, *also: str) -> DataFrame:
+    """The rows of `docs` whose doc_id, and columns `also`, are in `kept`; of rows that repeat a doc_id and
+    text, the first by its columns. Ids meet by shuffle, null ones too, in which repeated rows combine first."""
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    first = docs.groupBy("doc_id", key.alias("text_sha256"), *[c for c in also if c in docs.columns]).agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    kept = kept.select("doc_id", *also).distinct()
+    on = first.doc_id.eqNullSafe(kept.doc_id)
+    for c in also:
+        on &= first[c] == kept[c]
+    return first.join(kept, on, "left_semi").select("doc_id", "row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +37,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
-    return one_of_each(docs, exact.groups(docs).filter("kept"))
+    return one_of_each(docs, exact.groups(docs).filter("kept"), "text_sha256")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar fingerprints, the row with the smallest doc_id stays."""
     groups = simhash.component_ids(docs)
-    return one_of_each(docs, groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    prints = docs.withColumn("fingerprint", F.lpad(F.lower(F.hex(simhash.fingerprints("text"))), 16, "0"))
+    return one_of_each(prints, groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))), "fingerprint")
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -280,3 +280,13 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, data):
         docs = after
     last = corpus_pipeline.STAGES[-1][1](spark, docs, data).collect()
     assert len(last) == docs.count() and all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in last)
+
+
+def test_deduplication_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10000)}" for _ in range(60)) for _ in range(5)]
+    ids = [None, None, None, 7, 7]
+    rows = [(i, t, "en", "src0", len(t)) for i, t in zip(ids, texts)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup):
+        assert sorted(r.text for r in stage(spark, docs, "").collect()) == sorted(texts)
