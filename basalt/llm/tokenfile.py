@@ -1,7 +1,7 @@
 """Token ids in files compressed by grammars (operator 5).
 
 A file set is a Parquet table with a row for each shard: part and seq give its place, n_docs and
-n_tokens what it holds, payload the grammar. A payload is little-endian: the magic RPG1; as unsigned
+n_tokens what it holds, first_id and last_id its smallest and largest doc_id, payload the grammar. A payload is little-endian: the magic RPG1; as unsigned
 32-bit integers the first nonterminal, the numbers of rules, of symbols and of documents; then unsigned
 32-bit arrays: left and right symbols of the rules, expansion lengths of the rules, the sequence, first
 symbol and number of tokens of each document; then the documents' ids as signed 64-bit integers and a
@@ -13,106 +13,115 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Marks at the end of a chunk that are looked up apart from a word of letters before them.
-MARKS = ".,;:!?*%&$#"
-#: Chunks remembered by one worker.
-REMEMBERED = 1_500_000
+#: A chunk that is looked up as a word of letters and the marks behind it: letters of Latin, Greek and Cyrillic
+#: that stay single letters when the library composes and lowers them.
+LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{391}-\x{3A1}\x{3A3}-\x{3E1}\x{400}-\x{481}\x{48A}-\x{52F}"
+SIMPLE = rf"^(?P<head>[{LETTERS}]+)(?P<marks>[.,;:!?*%&$#]*)$"
+#: Bytes of chunks and ids remembered by one worker, the objects' own size included; longer chunks aren't remembered.
+REMEMBERED, OBJECTS, LONGEST = 192 << 20, 220, 256
+#: Bytes of texts tokenised at once, about.
+AT_ONCE = 4 << 20
 MAGIC = b"RPG1"
-#: Slots of the table that finds a pair's rule in a round.
-SLOTS = 1 << 20
 
-Encoder = tuple[object, dict[str, bytes]]
-_loaded: dict[str, Encoder] = {}
 
+class Encoder:
+    """The library's tokenizer of one file, for tokenizers that drop white space before they look for
+    words, so that what stands between white space is encoded alike anywhere; and what a worker
+    remembers of it. Strings of special tokens get those tokens' ids, as in the library by default."""
 
-def tokenizer(path: str) -> Encoder:
-    """The library's tokenizer of the file at `path`, and what this worker remembers of it. Strings of
-    special tokens in a text are ordinary text."""
-    if path not in _loaded:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _loaded[path] = (t, {"": b""})
-    return _loaded[path]
+        self.library = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.used = 0
+        suffix, vocabulary = self.library.model.end_of_word_suffix, self.library.get_vocab()
+        #: Whether each id ends a word, by the tokenizer's own suffix.
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for lo in range(0, len(chunks), 20_000) for e in self.library.encode_batch_fast(chunks[lo : lo + 20_000], add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: many go to the library in one text, in which they come out one by
+        one at the ends that it marks. Where a word falls into several, each goes alone."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), 2000):
+            part = words[lo : lo + 2000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.final[ids]) + 1
+            if len(cut) == len(part) and cut[-1] == len(ids):
+                data, ends = ids.tobytes(), (cut * 4).tolist()
+                out += [data[a:b] for a, b in zip([0, *ends], ends)]
+            else:
+                out += self.encode(part)
+        return out
+
+    def look_up(self, keys: pa.Array, how: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of different words or chunks, from memory or, all unknown ones together, by `how`."""
+        different = keys.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.known.get, different))
+        new = [c for c, b in zip(different, got) if b is None]
+        if new:
+            found = dict(zip(new, how(new)))
+            got = [found[c] if b is None else b for c, b in zip(different, got)]
+            short = {c: b for c, b in found.items() if len(c) <= LONGEST}
+            size = sum(map(len, short)) + sum(map(len, short.values())) + OBJECTS * len(short)
+            if self.used + size > REMEMBERED:
+                self.known.clear()
+                self.used = 0
+            if size <= REMEMBERED:
+                self.known.update(short)
+                self.used += size
+        return got
+
+    def tokenize(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has; null counts as empty. Each different
+        chunk is taken apart once: letters before marks are a word of their own, in lower case like
+        all words, so the library sees each such word once; other chunks it sees whole."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        chunks = lists.flatten().dictionary_encode()
+        parts = pc.extract_regex(chunks.dictionary, SIMPLE)
+        simple = parts.is_valid()
+        other = self.look_up(chunks.dictionary.filter(pc.invert(simple)), self.encode)
+        parts = parts.filter(simple)
+        heads, marks = pc.ascii_lower(parts.field("head")).dictionary_encode(), parts.field("marks").dictionary_encode()
+        units = [*self.look_up(heads.dictionary, self.words), *self.look_up(marks.dictionary, self.encode), *other, b""]
+        simple = simple.to_numpy(zero_copy_only=False)
+        unit = np.full((len(simple), 2), len(units) - 1)  # of each different chunk: word and marks, or itself and nothing
+        unit[simple, 0] = heads.indices.to_numpy()
+        unit[simple, 1] = len(heads.dictionary) + marks.indices.to_numpy()
+        unit[~simple, 0] = len(heads.dictionary) + len(marks.dictionary) + np.arange(len(other))
+        flat = np.frombuffer(b"".join(units), "<u4")
+        n = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        at = unit[chunks.indices.to_numpy()].ravel()
+        begin, n = (np.cumsum(n) - n)[at], n[at]
+        total = np.r_[0, np.cumsum(n)]
+        ids = flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)]
+        ends = 2 * np.cumsum(pc.list_value_length(lists).to_numpy())
+        return ids, np.diff(total[ends], prepend=0)
+
 
+_loaded: dict[str, Encoder] = {}
 
-def encode_new(t: object, known: dict[str, bytes], new: list[str]) -> None:
-    """Encode chunks. Letters that end a chunk of letters and then marks are a word of their own, in
-    lower case like all words, so the library sees each such word once; many go to it in one text, in
-    which they come out one by one at the ends that the library marks."""
-    split: dict[str, tuple[str, str]] = {}
-    words: dict[str, None] = {}
-    other: list[str] = []
-    for c in new:
-        head = c.rstrip(MARKS)
-        if head.isalpha() and head.isascii():
-            split[c] = (head.lower(), c[len(head) :])
-            words[split[c][0]] = None
-            if c != head:
-                words[split[c][1]] = None
-        else:
-            other.append(c)
-    need = [w for w in words if w not in known]
-    letters = [w for w in need if w.isalpha()]
-    other += [w for w in need if not w.isalpha()]
-    ends = final_ids(t)
-    for lo in range(0, len(letters), 2000):
-        part = letters[lo : lo + 2000]
-        ids = np.array(t.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-        cut = np.flatnonzero(ends[ids]) + 1
-        if len(cut) != len(part):
-            raise ValueError("the tokenizer doesn't mark ends of words")
-        for w, a in zip(part, np.split(ids, cut[:-1])):
-            known[w] = a.tobytes()
-    for lo in range(0, len(other), 50_000):
-        part = other[lo : lo + 50_000]
-        for c, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)):
-            known[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-    for c, (head, marks) in split.items():
-        known[c] = known[head] + known[marks] if marks else known[head]
-
-
-_finals: dict[int, np.ndarray] = {}
-
-
-def final_ids(t: object) -> np.ndarray:
-    """Whether each id ends a word, by the tokenizer's own suffix."""
-    if id(t) not in _finals:
-        suffix = t.model.end_of_word_suffix
-        vocabulary = t.get_vocab()
-        out = np.zeros(max(vocabulary.values()) + 1, bool)
-        out[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
-        _finals[id(t)] = out
-    return _finals[id(t)]
-
-
-def tokenize(path: str, texts: list[str | None]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, for tokenizers that drop white space
-    before they look for words, so that what stands between white space is encoded alike anywhere."""
-    t, known = tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-        known[""] = b""
-    cut = [(x or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-    got = [list(map(known.get, x)) for x in cut]
-    gaps = [(x, g, [i for i, b in enumerate(g) if b is None]) for x, g in zip(cut, got) if None in g]
-    if gaps:
-        encode_new(t, known, list(dict.fromkeys(x[i] for x, _, at in gaps for i in at)))
-        for x, g, at in gaps:
-            for i in at:
-                g[i] = known[x[i]]
-    return list(map(b"".join, got))
+
+def tokenizer(path: str) -> Encoder:
+    """One encoder for each worker."""
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
+    return _loaded[path]
 
 
 @dataclass
@@ -167,48 +176,80 @@ class Grammar:
             self.known = self.rules()
         return self.copy(symbols, *self.known)[1]
 
-    def document(self, d: int) -> np.ndarray:
+    def document(self, d: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Ids lo..hi of document d, all by default, from its own symbols alone: expansion lengths say
+        which symbols reach into the range, and only those are taken apart, level by level."""
         end = self.starts[d + 1] if d + 1 < len(self.starts) else len(self.sequence)
-        return self.expand(self.sequence[self.starts[d] : end])
-
-
-def compress(tokens: np.ndarray, counts: np.ndarray, first: int, least: int = 4, rounds: int = 16) -> Grammar:
+        s, first = self.sequence[self.starts[d] : end], 0
+        hi = int(self.tokens[d]) if hi is None else min(hi, int(self.tokens[d]))
+        if hi <= lo:
+            return np.empty(0, np.uint32)
+        while True:
+            n = self.sizes(s)
+            begin = first + np.cumsum(n) - n
+            inside = (begin < hi) & (begin + n > lo)
+            s, first = s[inside], int(begin[inside][0])
+            big = s >= self.first
+            if not big.any():
+                return s.astype(np.uint32)
+            r = s[big].astype(np.int64) - self.first
+            at = np.flatnonzero(big) + np.arange(len(r))
+            s = np.repeat(s, 1 + big)
+            s[at], s[at + 1] = self.left[r], self.right[r]
+
+
+def number(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs as 64-bit keys, in order, and which of them each pair is."""
+    bits, place = int(max(left.max(), right.max())).bit_length(), len(left).bit_length()
+    key = left.astype(np.uint64) << np.uint64(bits) | right
+    if 2 * bits + place <= 64:  # places are sorted along in the low bits
+        key = np.sort(key << np.uint64(place) | np.arange(len(key), dtype=np.uint64))
+        order, key = (key & np.uint64((1 << place) - 1)).astype(np.int64), key >> np.uint64(place)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    key = key[new]
+    return (key >> np.uint64(bits)) << np.uint64(32) | key & np.uint64((1 << bits) - 1), which
+
+
+def compress(tokens: np.ndarray, counts: np.ndarray, first: int, least: int = 4) -> Grammar:
     """Re-Pair: replace frequent pairs by new symbols, again and again, until no pair occurs `least`
-    times or `rounds` are over. One round takes all pairs at least 1/32 as frequent as the most
-    frequent one; where chosen pairs overlap, the more frequent wins, in runs of one symbol every other."""
+    times. A rule is stored as three numbers, so a pair saves space from four occurrences. One round
+    takes all pairs at least 1/32 as frequent as the most frequent one; where chosen pairs overlap,
+    the more frequent wins, in runs of one symbol every other. Pairs are counted once; then only
+    those beside a replacement are counted anew, all of which hold a new symbol. So counts only fall
+    after that, and pairs too rare at first are forgotten."""
     s = tokens.astype(np.uint32)
     starts = np.cumsum(counts) - counts
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
     made = first
-    never = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
-        key = s[:-1].astype(np.uint64)
-        key <<= np.uint64(32)
-        key |= s[1:]
-        last = starts[1:] - 1
-        key[last[(last >= 0) & (last < len(key))]] = never  # no pair spans two documents
-        ordered = np.sort(key)
-        edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-        edge = np.concatenate([[0], edge])
-        n = np.diff(edge, append=len(ordered))
-        if ordered[-1] == never:
-            edge, n = edge[:-1], n[:-1]
-        if not len(n) or n.max() < least:
-            break
-        few = np.flatnonzero(n >= max(least, int(n.max()) // 32))
-        pairs, n = ordered[edge[few]], n[few]
-        pairs = pairs[np.argsort(-n, kind="stable")]
-        slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
-        table = np.full(SLOTS, -1, np.int32)
-        table[slot(pairs[::-1])] = np.arange(len(pairs) - 1, -1, -1)  # in a shared slot the more frequent stays
-        rank = table[slot(key)]
-        at = np.flatnonzero(rank >= 0)
-        r = rank[at].astype(np.int64)
-        same = pairs[r] == key[at]
-        at, r = at[same], r[same]
+    rules: list[np.ndarray] = []
+    pair = np.zeros(len(s), np.int32)  # which pair begins at each place; 0: none that is frequent
+    whole = np.ones(len(s), bool)  # whether the pair there lies in one document
+    ends = np.append(starts[1:], len(s)) - 1
+    whole[ends[ends >= 0]] = False
+    keys, n = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+
+    def count(at: np.ndarray) -> None:
+        nonlocal keys, n
+        if len(at):
+            new, which = number(s[at], s[at + 1])
+            found = np.bincount(which)
+            often = found >= least
+            pair[at] = np.where(often, len(keys) - 1 + np.cumsum(often), 0)[which]
+            keys, n = np.concatenate([keys, new[often]]), np.concatenate([n, found[often]])
+
+    count(np.flatnonzero(whole))
+    while (most := int(n.max())) >= least:
+        few = np.flatnonzero(n >= max(least, most // 32))
+        few = few[np.argsort(-n[few], kind="stable")]
+        rank = np.full(len(keys), -1, np.int32)
+        rank[few] = np.arange(len(few))
+        r = rank[pair]
+        at = np.flatnonzero(r >= 0)
+        r = r[at].astype(np.int64)
         beside = np.diff(at) == 1
         run = np.flatnonzero(np.concatenate([[True], ~beside | (np.diff(r) != 0)]))
         odd = (np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) & 1
@@ -217,23 +258,29 @@ def compress(tokens: np.ndarray, counts: np.ndarray, first: int, least: int = 4,
         wins[1:] &= ~beside | (value[1:] < value[:-1])
         wins[:-1] &= ~beside | (value[:-1] < value[1:])
         at, r = at[wins], r[wins]
-        hits = np.bincount(r, minlength=len(pairs)) > 0
-        used, name = np.flatnonzero(hits), np.cumsum(hits) - 1
-        left.append((pairs[used] >> np.uint64(32)).astype(np.uint32))
-        right.append((pairs[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        s[at] = (made + name[r]).astype(np.uint32)
-        made += len(used)
+        hits = np.bincount(r, minlength=len(few)) > 0
+        rules.append(keys[few[hits]])
+        beside = np.zeros(len(s), bool)  # pairs that go: the replaced ones and those that overlap them
+        beside[at] = beside[at + 1] = beside[np.maximum(at - 1, 0)] = True
+        n -= np.bincount(pair[beside], minlength=len(n))
+        n[0] = 0
+        s[at] = (made + np.cumsum(hits) - 1)[r].astype(np.uint32)
+        made += int(hits.sum())
+        whole[at] = whole[at + 1]
         starts = starts - np.searchsorted(at, starts)  # each pair replaced before a start moves it by one
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
-        s = s[stay]
+        s, pair, whole, beside = s[stay], pair[stay], whole[stay], beside[stay]
+        pair[beside] = 0
+        count(np.flatnonzero(beside & whole))
+    rule = np.concatenate(rules) if rules else np.empty(0, np.uint64)
+    left, right = (rule >> np.uint64(32)).astype(np.uint32), (rule & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     lengths = np.ones(made, np.uint32)
     base = first
-    for a, b in zip(left, right):
-        lengths[base : base + len(a)] = lengths[a] + lengths[b]
-        base += len(a)
-    join = lambda x: np.concatenate(x) if x else np.empty(0, np.uint32)
-    return Grammar(first, join(left), join(right), lengths[first:], s, starts, counts)
+    for k in rules:
+        lengths[base : base + len(k)] = lengths[left[base - first :][: len(k)]] + lengths[right[base - first :][: len(k)]]
+        base += len(k)
+    return Grammar(first, left, right, lengths[first:], s, starts, counts)
 
 
 def pack(g: Grammar, ids: list[int | None]) -> bytes:
@@ -256,6 +303,23 @@ def unpack(data: bytes) -> tuple[Grammar, list[int | None]]:
     return Grammar(first, *got[:4], got[4].astype(np.int64), got[5].astype(np.int64)), [None if z else i for i, z in zip(ids, nulls)]
 
 
+#: Columns of a file set.
+FIELDS = "part int, seq int, n_docs long, n_tokens long, first_id long, last_id long, payload binary"
+SHARD = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("payload", pa.binary())])
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of (id, text) batches, cut so that texts of a piece have about AT_ONCE bytes, or one text more."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy())
+        lo = 0
+        while lo < b.num_rows:
+            before = size[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(size, before + AT_ONCE, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def write(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, doc_id: str = "doc_id", text: str = "text", vocabulary: int = 49408, shard: int = 1 << 20) -> None:
     """Write the ids of all texts, each with `end_id` behind it, in ascending order of doc_id (nulls
     first) to shards of about `shard` ids in the file set `out`. Null text counts as empty; repeated
@@ -267,29 +331,34 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, doc_id: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        ids: list[int | None] = []
-        held: list[bytes] = []
-        tail = struct.pack("<I", end_id)
+        encoder = tokenizer(tokenizer_path)
+        ids: list[int | None] = []  # documents of the shard that is being filled, their numbers of tokens, their tokens
+        counts: list[int] = []
+        held: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            nonlocal seq, ids, held
-            counts = np.array([len(x) // 4 for x in held], np.int64)
-            data = pack(compress(np.frombuffer(b"".join(held), "<u4"), counts, vocabulary), ids)
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([data], pa.binary())],
-                ["part", "seq", "n_docs", "n_tokens", "payload"],
-            )
-            seq, ids, held = seq + 1, [], []
+            nonlocal seq, ids, counts, held
+            data = pack(compress(np.concatenate(held), np.array(counts, np.int64), vocabulary), ids)
+            known = [i for i in ids if i is not None]
+            values = [part, seq, len(ids), sum(counts), min(known, default=None), max(known, default=None), data]
+            row = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, SHARD)], schema=SHARD)
+            seq, ids, counts, held = seq + 1, [], [], []
             return row
 
         size = 0
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                some = b.slice(lo, 512)
-                for i, x in zip(some.column(0).to_pylist(), tokenize(tokenizer_path, some.column(1).to_pylist())):
-                    ids.append(i)
-                    held.append(x + tail)
-                    size += len(x) // 4 + 1
+        for some in pieces(batches):
+            flat, n = encoder.tokenize(some.column(1))
+            at = np.cumsum(n)
+            flat = np.insert(flat, at, end_id)
+            ends = (at + np.arange(1, len(n) + 1)).tolist()
+            done, begin, names = 0, 0, some.column(0).to_pylist()
+            for k, end in enumerate(ends):
+                size += end - (ends[k - 1] if k else 0)
+                if size >= shard or k + 1 == len(ends):
+                    ids += names[done : k + 1]
+                    counts += (n[done : k + 1] + 1).tolist()
+                    held.append(flat[begin:end])
+                    done, begin = k + 1, end
                     if size >= shard:
                         yield close()
                         size = 0
@@ -298,7 +367,7 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, doc_id: s
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    rows.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, payload binary").write.parquet(out)
+    rows.mapInArrow(run, FIELDS).write.parquet(out)
 
 
 def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
@@ -321,7 +390,7 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                         out, names = [*out, pa.array([x.astype(np.int32) for x in texts], pa.list_(pa.int32()))], [*names, "token_ids"]
                     yield pa.RecordBatch.from_arrays(out, names)
 
-    shards = spark.read.schema("part int, seq int, n_docs long, n_tokens long, payload binary").parquet(path)
+    shards = spark.read.schema(FIELDS).parquet(path)
     sizes = shards.select("part", "seq", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
@@ -331,3 +400,21 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     docs = shards.select("part", "seq", "payload").mapInArrow(run, schema).join(begins, ["part", "seq"])
     more = ["token_ids"] * ids
     return docs.select("doc_id", (F.col("begin") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *more)
+
+
+def fetch(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """(doc_id, token_ids) of the documents with these ids, a short list: shards without them aren't read,
+    and of the others only the documents' own symbols are expanded. Repeated rows come as often as written."""
+    wanted = set(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                g, docs = unpack(data)
+                at = [d for d, i in enumerate(docs) if i in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([docs[d] for d in at], pa.int64()), pa.array([g.document(d).astype(np.int32) for d in at], pa.list_(pa.int32()))], ["doc_id", "token_ids"])
+
+    near = F.exists(F.array(*map(F.lit, sorted(wanted))), lambda i: i.between(F.col("first_id"), F.col("last_id"))) if wanted else F.lit(False)
+    if wanted:
+        near &= (F.col("first_id") <= max(wanted)) & (F.col("last_id") >= min(wanted))  # for the statistics of files
+    return spark.read.schema(FIELDS).parquet(path).filter(near).select("payload").mapInArrow(run, "doc_id long, token_ids array<int>")

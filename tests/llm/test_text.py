@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -20,6 +21,7 @@ from basalt.llm.common import Scratch
 
 BYTE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = Tokenizer.from_file(WORD)
 ODD = [None, "", " ", "\n\n  x", "it's  a\ttest　of 123 ½ café́ 漢字 <|endoftext|>", "a" * 3000, "\U0001f600" * 50]
 
 
@@ -69,20 +71,36 @@ def test_bpe_operator(spark, reference):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from([*"abcEÉé́̇İΣ1漢'’.,;:!?*%&$#-<|>_ \n\t\r\x1c\x85", "don't", "'re", "<|endoftext|>"]), max_size=30).map("".join))
-def test_tokenize_by_chunks(text):
-    t, _ = tokenfile.tokenizer(WORD)
-    assert np.frombuffer(tokenfile.tokenize(WORD, [text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+@given(st.lists(st.lists(st.sampled_from([*"abcEÉé́̇İΣ1漢'’.,;:!?*%&$#-<|>_ \n\t\r\x0b\x1c\x85", "don't", "'re", "<|endoftext|>"]), max_size=30).map("".join), max_size=4))
+def test_tokenize_by_chunks(texts):
+    """The library as it is, with no switch: special tokens' strings get those tokens' ids."""
+    ids, n = tokenfile.tokenizer(WORD).tokenize(pa.array(texts, pa.string()))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
+    assert got == [LIBRARY.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_tokenize_special_tokens_and_memory(monkeypatch):
+    ids = lambda x: tokenfile.tokenizer(WORD).tokenize(pa.array([x]))[0].tolist()
+    assert ids("hello <|endoftext|> world") == [3306, 49407, 1002]
+    encoder = tokenfile.Encoder(WORD)
+    monkeypatch.setattr(tokenfile, "REMEMBERED", 2000)
+    text = " ".join(f"word{i}. Letters{chr(97 + i)} {'x' * 300}" for i in range(26))
+    for _ in range(3):
+        assert encoder.tokenize(pa.array([text, None]))[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert encoder.used <= 2000 and all(len(c) <= tokenfile.LONGEST for c in encoder.known)
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), max_size=40), min_size=1, max_size=6))
 def test_grammar_round_trip(docs):
     counts = np.array([len(d) for d in docs])
-    g = tokenfile.compress(np.array([x for d in docs for x in d], "<u4"), counts, 10, least=2, rounds=20)
+    g = tokenfile.compress(np.array([x for d in docs for x in d], "<u4"), counts, 10, least=2)
     g, ids = tokenfile.unpack(tokenfile.pack(g, [None, *range(1, len(docs))]))
     assert ids == [None, *range(1, len(docs))]
     assert [g.document(k).tolist() for k in range(len(docs))] == docs
+    assert all(g.document(k, lo, lo + 5).tolist() == docs[k][lo : lo + 5] for k in range(len(docs)) for lo in range(0, len(docs[k]), 3))
+    rest = [g.sequence[a:b].tolist() for a, b in zip(g.starts, [*g.starts[1:], len(g.sequence)])]
+    assert all(rest.count(p) < 4 for d in rest for p in zip(d, d[1:]))
     whole = g.expand(g.sequence)
     assert whole.tolist() == [x for d in docs for x in d] and all(g.lengths[r] == len(g.expand(np.array([g.first + r], np.uint32))) for r in range(len(g.left)))
 
@@ -93,10 +111,12 @@ def test_token_files(spark):
     path = Scratch(spark).new()
     tokenfile.write(docs, WORD, path, 2, shard=200)
     got = tokenfile.read(spark, path, ids=True).orderBy("start").collect()
-    t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
+    t = LIBRARY
     at = 0
-    assert [r.doc_id for r in got] == sorted([i for i in range(len(texts))] + [3]) if got[0].doc_id is not None else [None, *sorted([*range(len(texts)), 3])]
+    assert [r.doc_id for r in got] == [None, *sorted([*range(len(texts)), 3])]
+    some = tokenfile.fetch(spark, path, [3, 5, 10**6]).collect()
+    assert sorted((r.doc_id, r.token_ids) for r in some) == sorted((r.doc_id, r.token_ids) for r in got if r.doc_id in (3, 5))
+    assert tokenfile.fetch(spark, path, []).count() == 0
     for r in got:
         options = [x or "" for i, x in [*enumerate(texts), (None, "null id"), (3, "again")] if i == r.doc_id]
         ids = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in options]
@@ -109,6 +129,24 @@ def test_token_files(spark):
     assert tokenfile.read(spark, empty).count() == 0
 
 
+def test_one_document_alone():
+    """A document is read without other documents' symbols, and without rules that it doesn't use."""
+    docs = [[1, 2, 3, 4] * 8, [5, 6] * 20, [1, 2] * 9]
+    g = tokenfile.compress(np.array(sum(docs, []), "<u4"), np.array([len(d) for d in docs]), 10)
+    used, todo = set(), set(g.sequence[g.starts[1] : g.starts[2]].tolist())
+    while todo:
+        x = todo.pop()
+        if x >= g.first:
+            used.add(x)
+            todo |= {int(g.left[x - g.first]), int(g.right[x - g.first])}
+    g.sequence = g.sequence.copy()
+    g.sequence[: g.starts[1]] = g.sequence[g.starts[2] :] = 99_999
+    for r in range(len(g.left)):
+        if r + g.first not in used:
+            g.left[r] = g.right[r] = 99_999
+    assert g.document(1).tolist() == docs[1] and g.document(1, 7, 12).tolist() == docs[1][7:12]
+
+
 def test_language_spans_and_ties(spark):
     rng = random.Random(2)
     make = lambda parts: " ".join("".join(rng.choices(parts, k=3)) for _ in range(60))
@@ -129,7 +167,7 @@ def test_language_spans_and_ties(spark):
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(1)
     for _ in range(40):
-        m = langid.Model(["a", "b", "c"], {}, (0.0,) * 3, {"Latin": [0, 1, 2]}, penalty=1.5)
+        m = langid.Model(["a", "b", "c"], [], np.zeros((1, 3), np.float32), {"Latin": [0, 1, 2]}, penalty=1.5)
         n = int(rng.integers(1, 6))
         words = [f"w{chr(97 + i)}" for i in range(n)]
         scores = {w: rng.normal(size=3).astype(np.float32) for w in words}
