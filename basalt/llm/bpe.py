@@ -20,8 +20,9 @@ SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000
 #: Cuts a text where white space begins or, before one word, a single space does. Every match of the
 #: public pattern lies within one such chunk and is found in the chunk alone as it is in the text.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Chunks and pairs of tokens remembered by one worker.
-REMEMBERED = 1_000_000
+#: Pairs of tokens remembered by one worker; bytes of chunks and ids remembered, the objects' own size included;
+#: longer chunks aren't remembered.
+PAIRS, REMEMBERED, OBJECTS, LONGEST = 500_000, 128 << 20, 220, 256
 
 
 class Prefixes:
@@ -76,6 +77,7 @@ class Bpe:
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.used = 0
         ends: dict[bytes, set[int]] = {}
         for t in self.ranks:
             ends.setdefault(t[-2:], set()).add(len(t))
@@ -103,7 +105,7 @@ class Bpe:
         got = self.pairs.get((a, b))
         if got is None:
             got = self.pairs[a, b] = self._fits(a, b)
-            if len(self.pairs) > REMEMBERED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
         return got
 
@@ -142,9 +144,13 @@ class Bpe:
 
     def _chunk(self, chunk: str) -> bytes:
         ids = [i for p in self.pattern.findall(chunk) for i in self.piece(p.encode("utf-8", "replace"))]
-        if len(self.chunks) >= REMEMBERED:
-            self.chunks.clear()
-        packed = self.chunks[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= LONGEST:
+            if self.used > REMEMBERED:
+                self.chunks.clear()
+                self.used = 0
+            self.chunks[chunk] = packed
+            self.used += len(chunk) + len(packed) + OBJECTS
         return packed
 
     def packed(self, text: str | None) -> bytes:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -26,10 +25,10 @@ SCRIPTS = [
     (0xAC00, "Hangul"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFF66, "Kana"), (0x20000, "Han"),
 ]
 STARTS = [a for a, _ in SCRIPTS]
-#: Words whose scores one worker remembers.
-REMEMBERED = 400_000
-#: Characters of texts that are labelled side by side, about.
-AT_ONCE = 4_000_000
+#: Words whose scores one worker remembers; none is longer than LONGEST letters.
+REMEMBERED = 200_000
+#: Characters of texts that are labelled side by side, about, or one text more; texts taken from a batch at once.
+AT_ONCE, TEXTS = 2_000_000, 256
 #: Longest run of letters scored as one word; longer ones, as in scripts without spaces, are cut.
 LONGEST = 64
 
@@ -53,11 +52,12 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Logarithms of the share of each run of letters in each language, and the languages of scripts."""
+    """Runs of letters, logarithms of their shares in each language (a row for each, and a last one for
+    runs never seen), and the languages of scripts."""
 
     langs: list[str]
-    scores: dict[str, tuple[float, ...]]
-    unseen: tuple[float, ...]
+    grams: list[str]
+    table: np.ndarray
     scripts: dict[str, list[int]]
     prior: int = 0
     penalty: float = 8.0
@@ -66,9 +66,8 @@ class Model:
     def score(self, found: list[str]) -> np.ndarray:
         """A row of scores for each word, one for each language; those that don't use the word's script
         are ruled out, unless none does."""
-        if "table" not in self.__dict__:
-            self.place = {g: i for i, g in enumerate(self.scores)}
-            self.table = np.array([*self.scores.values(), self.unseen], np.float32)
+        if "place" not in self.__dict__:
+            self.place = {g: i for i, g in enumerate(self.grams)}
         get, none = self.place.get, len(self.place)
         flat = [get(g, none) for w in found for g in grams(w)]
         n = np.array([3 * len(w) + 4 for w in found])  # runs of one, two, three letters of <word>, and the word
@@ -194,11 +193,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column
         by.setdefault(g, [0.0] * len(langs))[at[k]] = float(n)
     texts = by.pop("@")
     marks = {g: by.pop(g) for g in [g for g in by if g[0] == "#" and len(g) > 1]}
-    totals = [sum(v[k] for v in by.values()) for k in range(len(langs))]
-    log = lambda v: tuple(math.log((x + 0.5) / (t + 0.5 * len(by) + 1)) for x, t in zip(v, totals))
+    counts = np.array([*by.values(), [0.0] * len(langs)])
+    table = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(by) + 1)).astype(np.float32)
     letters = [sum(v[k] for v in marks.values()) or 1.0 for k in range(len(langs))]
     scripts = {g[1:]: able for g, v in marks.items() if (able := [k for k in range(len(langs)) if v[k] >= 0.01 * letters[k]])}
-    return Model(langs, {g: log(v) for g, v in by.items()}, log([0.0] * len(langs)), scripts, texts.index(max(texts)), penalty)
+    return Model(langs, list(by), table, scripts, texts.index(max(texts)), penalty)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -212,7 +211,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         for b in batches:
             lang, score = [], []
             texts, size = [], 0
-            for k, t in enumerate(b.to_pylist()):
+            for k, t in enumerate(x for lo in range(0, len(b), TEXTS) for x in b.slice(lo, TEXTS).to_pylist()):
                 texts.append(t)
                 size += len(t or "")
                 if size >= AT_ONCE or k == len(b) - 1:
@@ -234,7 +233,9 @@ def _typed(f):  # noqa: ANN001, ANN202
 
 
 def spans(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, first_word, n_words, lang) for each span of one language in each text."""
+    """(doc_id, first_word, n_words, lang) for each span of one language in each text, words counted from
+    0. Null texts and texts without letters have no spans; null ids and repeated rows are rows like
+    others; an empty table gives no rows; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
