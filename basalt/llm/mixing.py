@@ -11,8 +11,10 @@ from basalt.llm.common import Scratch
 
 #: Sources up to which their table is broadcast; beyond, it is joined by shuffle.
 FEW = 10_000
-#: A prime above any number of blocks of one source, so that multiplying by it permutes indices.
-PRIME = 2_147_483_647
+#: Shards whose slots are numbered together.
+SHARDS = 1024
+#: Turns of a walk that leaves the indices of a source, see permuted().
+TURNS = 24
 
 
 @dataclass
@@ -37,6 +39,34 @@ def uniform(*parts) -> F.Column:  # noqa: ANN002
     return number(*parts) / float(1 << 52)
 
 
+def permuted(slots: DataFrame, seed: int) -> DataFrame:
+    """Adds block: index j mod n_blocks of a source, sent through a permutation keyed by the seed, the
+    source and the pass. Indices are pairs (l, r) of a rectangle of a x b >= n_blocks cells, about square;
+    l and r are moved in turn by a pseudorandom number that depends on the other (a Feistel network of
+    four half rounds), and what lands in the rectangle's rest, less than one row of it, is sent on until it
+    doesn't. Up to 500 blocks that takes TURNS turns at most; beyond, more have a chance below 1e-30."""
+    n, a, b = F.col("n_blocks"), F.col("a"), F.col("b")
+    out = slots.withColumn("a", F.ceil(F.sqrt(n.cast("double"))).cast("long"))
+    out = out.withColumn("b", F.expr("(n_blocks + a - 1) div a"))
+    out = out.withColumn("turn", F.expr("j div n_blocks")).withColumn("x", F.col("j") % n)
+    out = out.withColumn("l", F.expr("x div b")).withColumn("r", F.col("x") % b)
+    move = lambda i, other: number(F.lit(seed), F.col("key"), F.col("turn"), i, other)
+    for i in range(4):
+        out = out.withColumn("l", (F.col("l") + move(F.lit(i), F.col("r"))) % a) if i % 2 == 0 else out.withColumn("r", (F.col("r") + move(F.lit(i), F.col("l"))) % b)
+
+    def on(state: F.Column, i: F.Column) -> F.Column:
+        left, right = state["l"], state["r"]
+        step = F.when(i % 2 == 0, F.struct(((left + move(i, right)) % a).alias("l"), right.alias("r"))).otherwise(F.struct(left.alias("l"), ((right + move(i, left)) % b).alias("r")))
+        return step
+
+    def turn(state: F.Column) -> F.Column:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(3)), state, on)
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(TURNS)), F.struct("l", "r"), lambda state, _: F.when(state["l"] * b + state["r"] < n, state).otherwise(turn(state)))
+    index = F.when(F.col("l") * b + F.col("r") < n, F.struct("l", "r")).otherwise(walk)
+    return out.withColumn("to", index).withColumn("block", F.col("to.l") * b + F.col("to.r")).drop("a", "b", "turn", "x", "l", "r", "to")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """Adds weight and target to (source, source_size): sources by code point, null last, weigh `weights`
     in turn and share the sum of sizes; none gets over `cap` times its size, the excess going to the
@@ -68,9 +98,10 @@ def mix(
     seed: int = 0,
 ) -> Mix:
     """Mix all rows of `docs`. Words are packed into blocks of `block` words, source by source in
-    pseudorandom order of rows. Each output shard of about `shard` slots gets, per source, the whole
-    part of its expected slots and a multinomial draw for the fractions. The slots of a source then
-    run through all its blocks before any comes again, each time in another order.
+    pseudorandom order of rows. Counts of sources per output shard of about `shard` slots are drawn by
+    residual sampling: each gets the whole part of its expected slots, and a multinomial draw for the
+    fractions alone, so that sources come nearer their targets than by one draw for all slots. The
+    slots of a source then run through all its blocks before any comes again, each time in another order.
 
     A null text or one without words has size 0 and is never taken; null is a source of its own, the
     last; a null doc_id and repeated rows are rows like others; an empty table gives empty results;
@@ -118,19 +149,23 @@ def mix(
     draws = shards.select("shard", F.explode(F.sequence(F.lit(1), F.lit(int(total) + 1))).alias("draw")).filter(F.col("draw") <= n_draws)
     draws = draws.withColumn("u", uniform(F.lit(seed), F.col("shard"), F.col("draw")) * total).withColumn("cell", F.floor("u"))
     hits = draws.join(small(cells), "cell").filter("lo <= u and u < hi").groupBy("shard", "key").agg(F.count("*").alias("more"))
-    counts = each.select("key", "n_blocks", "whole", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<bigint>")).alias("shard"))
-    counts = counts.join(hits, ["shard", "key"], "left").withColumn("n", F.col("whole") + F.coalesce("more", F.lit(0)))
-    begin = F.sum("n").over(Window.partitionBy("key").orderBy("shard")) - F.col("n")
-    counts = counts.select("*", begin.alias("begin")).filter("n > 0")
-
-    # Slots: the j-th slot of a source takes block j of its current pass, through a permutation of indices.
+    # Numbers of slots before a shard's: whole ones by its number, drawn ones summed by groups of shards, then inside a group.
+    hits = scratch.keep(hits.withColumn("group", F.floor(F.col("shard") / SHARDS)))
+    groups = hits.groupBy("key", "group").agg(F.sum("more").alias("n"))
+    grid = each.select("key", "n_blocks", "whole", F.explode(F.sequence(F.lit(0), F.lit((n_shards - 1) // SHARDS)).cast("array<bigint>")).alias("group"))
+    grid = grid.join(groups, ["key", "group"], "left")
+    grid = grid.withColumn("earlier", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("key").orderBy("group")) - F.coalesce("n", F.lit(0))).drop("n")
+    last = F.least(F.col("group") * SHARDS + SHARDS, F.lit(n_shards)) - 1
+    counts = grid.withColumn("shard", F.explode(F.sequence(F.col("group") * SHARDS, last))).join(hits.drop("group"), ["key", "shard"], "left")
+    counts = counts.withColumn("more", F.coalesce("more", F.lit(0)))
+    drawn = F.sum("more").over(Window.partitionBy("key", "group").orderBy("shard")) - F.col("more")
+    counts = counts.withColumn("begin", F.col("whole") * F.col("shard") + F.col("earlier") + drawn).withColumn("n", F.col("whole") + F.col("more")).filter("n > 0")
+
+    # Slots: the j-th slot of a source takes block j of its current pass, through a permutation of indices. Shards of all sources are dealt out first.
+    counts = counts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "shard")
     slots = counts.select("shard", "key", "n_blocks", F.posexplode(F.sequence("begin", F.col("begin") + F.col("n") - 1)).alias("slot", "j"))
     slots = slots.filter(F.col("j") < F.col("n_blocks") * int(cap))
-    turn = F.floor(F.col("j") / F.col("n_blocks"))
-    shift = F.pmod(number(F.lit(seed), F.col("key"), turn), F.col("n_blocks"))
-    step = F.pmod(F.lit(PRIME), F.col("n_blocks"))
-    index = F.pmod(F.pmod(F.col("j"), F.col("n_blocks")) * step + shift, F.col("n_blocks"))
-    slots = slots.select("shard", "slot", "key", index.alias("block"))
+    slots = permuted(slots, seed).select("shard", "slot", "key", "block")
 
     times = slots.groupBy("key", "block").agg(F.count("*").alias("times"))
     taken = segments.join(times, ["key", "block"]).groupBy("doc_id", "key", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))

@@ -82,7 +82,7 @@ ORACLE_SQL: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op4_mixing": """
-        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, coalesce('=' || source, '') AS key,
+        WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, coalesce('=' || source, '') AS key,
                 CAST('0x' || substr(md5(concat_ws('|', '0', CAST(doc_id AS VARCHAR))), 1, 13) AS BIGINT) AS place FROM documents),
         s0 AS (SELECT key, source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY key, source),
         s1 AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w, CAST(source_size * 3 AS DOUBLE) AS cap FROM s0),
@@ -108,8 +108,16 @@ ORACLE_SQL: dict[str, str] = {
         counts AS (SELECT shard, key, n_blocks, CAST(whole AS BIGINT) + coalesce(more, 0) AS n FROM e CROSS JOIN shards LEFT JOIN hits USING (shard, key)),
         begins AS (SELECT *, CAST(sum(n) OVER (PARTITION BY key ORDER BY shard) AS BIGINT) - n AS begin FROM counts),
         slots AS (SELECT key, n_blocks, unnest(range(begin, begin + n)) AS j FROM begins WHERE n > 0),
-        times AS (SELECT key, (j % n_blocks * (2147483647 % n_blocks) + CAST('0x' || substr(md5(concat_ws('|', '0', key, CAST(j // n_blocks AS VARCHAR))), 1, 13) AS BIGINT) % n_blocks) % n_blocks AS block, count(*) AS times
-                FROM slots WHERE j < n_blocks * 3 GROUP BY ALL),
+        boxes AS (SELECT *, (n_blocks + a - 1) // a AS b FROM (SELECT *, CAST(ceil(sqrt(CAST(n_blocks AS DOUBLE))) AS BIGINT) AS a, j // n_blocks AS turn FROM slots WHERE j < n_blocks * 3) t),
+        walk(key, j, n_blocks, a, b, turn, x, step) AS (
+            SELECT key, j, n_blocks, a, b, turn, CAST(j % n_blocks AS BIGINT), 0 FROM boxes
+            UNION ALL
+            SELECT key, j, n_blocks, a, b, turn, l * b + (r + CAST('0x' || substr(md5(concat_ws('|', '0', key, CAST(turn AS VARCHAR), '3', CAST(l AS VARCHAR))), 1, 13) AS BIGINT)) % b, step + 1
+            FROM (SELECT * REPLACE ((l + CAST('0x' || substr(md5(concat_ws('|', '0', key, CAST(turn AS VARCHAR), '2', CAST(r AS VARCHAR))), 1, 13) AS BIGINT)) % a AS l)
+            FROM (SELECT * REPLACE ((r + CAST('0x' || substr(md5(concat_ws('|', '0', key, CAST(turn AS VARCHAR), '1', CAST(l AS VARCHAR))), 1, 13) AS BIGINT)) % b AS r)
+            FROM (SELECT * REPLACE ((l + CAST('0x' || substr(md5(concat_ws('|', '0', key, CAST(turn AS VARCHAR), '0', CAST(r AS VARCHAR))), 1, 13) AS BIGINT)) % a AS l)
+            FROM (SELECT *, x // b AS l, x % b AS r FROM walk WHERE step = 0 OR x >= n_blocks) t0) t1) t2) t3),
+        times AS (SELECT key, x AS block, count(*) AS times FROM walk WHERE step > 0 AND x < n_blocks GROUP BY ALL),
         taken AS (SELECT key, start, CAST(sum(words * times) AS BIGINT) AS taken FROM segments JOIN times USING (key, block) GROUP BY key, start)
         SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM packed LEFT JOIN taken USING (key, start) JOIN s USING (key)
         UNION ALL SELECT doc_id, size, source_size, target, 0 FROM d JOIN s USING (key) WHERE size = 0""",

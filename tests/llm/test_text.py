@@ -251,6 +251,25 @@ def test_mixing_slots_run_through_all_blocks(spark):
     assert m.slots.groupBy("shard").count().agg(F.max("count")).first()[0] <= 66
 
 
+def test_permutations_of_indices(spark):
+    sizes = [*range(1, 40), 331, 1024, 5000]
+    rows = [(k, n) for n in sizes for k in ("=a", "=b")]
+    slots = spark.createDataFrame(rows, "key string, n_blocks long").select("*", F.explode(F.expr("sequence(0l, 2 * n_blocks - 1)")).alias("j"))
+    orders = {}
+    for r in mixing.permuted(slots, 0).orderBy("key", "n_blocks", "j").collect():
+        orders.setdefault((r.key, r.n_blocks, r.j // r.n_blocks), []).append(r.block)
+    assert all(sorted(v) == list(range(k[1])) for k, v in orders.items())
+    for n in (331, 1024, 5000):
+        four = [orders[k, n, t] for k in ("=a", "=b") for t in (0, 1)]
+        assert len({tuple(v) for v in four}) == 4
+        for v in four:
+            steps = [(y - x) % n for x, y in zip(v, v[1:])]
+            assert max(steps.count(d) for d in set(steps)) < n / 20  # far from an affine map
+            assert abs(np.corrcoef(range(n), v)[0, 1]) < 0.2
+    huge = spark.createDataFrame([("=a", 10**12, j) for j in (0, 1, 10**12 - 1, 2 * 10**12)], "key string, n_blocks long, j long")
+    assert all(0 <= r.block < 10**12 for r in mixing.permuted(huge, 0).collect())
+
+
 def test_url_filter(spark):
     rules = registry.URL_RULES
     page = lambda i, url, html="": (i, url, html, "x")
