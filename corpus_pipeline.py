@@ -29,19 +29,24 @@ def one_of_each(docs: DataFrame, kept: DataFrame, *also: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go, and those of which no language has at least half of the letters."""
+    """Documents without letters go, null and empty texts too, and those of which no language has at
+    least half of the letters. Null ids and repeated rows are judged like others; without any text and
+    lang to learn from all go; an empty table gives no rows; more columns are ignored."""
     docs = docs.select(*COLUMNS)
     model = langid.train(docs, order=F.xxhash64("doc_id"))
     return langid.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id stays."""
+    """Of equal texts, the row with the smallest doc_id stays, null if all are; null counts as empty. Of
+    rows that repeat an id and text one stays, the first by its columns. An empty table gives no rows."""
     return one_of_each(docs, exact.groups(docs).filter("kept"), "text_sha256")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar fingerprints, the row with the smallest doc_id stays."""
+    """Of each component of similar fingerprints, the row with the smallest doc_id stays, null if all
+    are; null and empty texts have fingerprint zero. Different texts of one id are told apart by their
+    fingerprints; rows that repeat an id and text count once. An empty table gives no rows."""
     groups = simhash.component_ids(docs)
     prints = docs.withColumn("fingerprint", F.lpad(F.lower(F.hex(simhash.fingerprints("text"))), 16, "0"))
     return one_of_each(prints, groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))), "fingerprint")
@@ -49,20 +54,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as the mix takes its words: the whole part of words taken by size,
-    and once more with a chance of the fraction, decided by a hash of its id. Documents without words
-    go, as the mix can't take them."""
-    rows = mixing.mix(docs).rows.filter("taken > 0")
+    and once more with a chance of the fraction, decided by a hash of its id and text. Documents without
+    words go, as the mix can't take them. A document is an id, null or not, with a text: different texts
+    of one id are mixed each for itself; of rows that repeat both, the first by its columns counts and
+    comes for all. An empty table gives no rows; more columns are ignored."""
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
+    docs = docs.select(*COLUMNS, key.alias("document"))
+    rows = mixing.mix(docs, doc_id="document").rows.filter("taken > 0")
     times = F.col("taken") / F.col("size")
     whole = F.floor(times)
-    rows = rows.select("doc_id", (whole + (mixing.uniform(F.lit("copies"), F.col("doc_id")) < times - whole).cast("int")).cast("int").alias("times"))
-    rows = rows.groupBy("doc_id").agg(F.sum("times").alias("times")).filter("times > 0")
-    kept = docs.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
-    both = kept.join(rows.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")))
-    return both.select("doc_id", "row.*", "times").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+    rows = rows.select(F.col("doc_id").alias("document"), (whole + (mixing.uniform(F.lit("copies"), F.col("doc_id")) < times - whole).cast("int")).cast("int").alias("times"))
+    rows = rows.groupBy("document").agg(F.sum("times").alias("times")).filter("times > 0")
+    kept = docs.groupBy("document").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    both = kept.join(rows, "document").select("row.*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return both.select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text."""
+    """The ids of each row's text, null ids and repeated rows as given; null texts count as empty."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
