@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 def get(doc: Column, *path: str | int) -> Column:
@@ -15,13 +16,27 @@ def get(doc: Column, *path: str | int) -> Column:
     return F.get_json_object(doc, "$" + steps)
 
 
+def typed(doc: Column, field: str) -> tuple[Column, Column, Column]:
+    """Of a top-level field: 0 missing or null, 1 number, 2 other, 3 text; its number; its text."""
+    value = F.try_variant_get(F.try_parse_json(doc), f"$['{field}']", "variant")
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    number = F.try_variant_get(value, "$", "double")
+    rank = F.when(kind == "VOID", 0).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), 1).when(kind == "STRING", 3).otherwise(2)
+    return rank, F.when(rank == 1, number), get(doc, field)
+
+
 def find(docs: DataFrame, doc: str, where: dict[str, object] | None = None, order: list[tuple[str, bool]] = (), fields: list[str] | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
-    """Documents whose top-level fields equal `where`, ordered by fields (name, descending), cut and projected."""
+    """Documents whose top-level fields equal `where`, ordered by fields (name, descending), cut and
+    projected. Types count: 1 and "1" differ, numbers sort as numbers and before other values, missing ones first."""
     j = F.col(doc)
     for k, v in (where or {}).items():
-        docs = docs.filter(get(j, k) == (str(v).lower() if isinstance(v, bool) else str(v)))
-    for k, desc in reversed(order):
-        docs = docs.orderBy(get(j, k).desc() if desc else get(j, k))
+        kind, number, value = typed(j, k)
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            docs = docs.filter((kind == 1) & (number == float(v)))
+        else:
+            docs = docs.filter((kind == (3 if isinstance(v, str) else 2)) & (value == (str(v).lower() if isinstance(v, bool) else str(v))))
+    if order:
+        docs = docs.orderBy(*[c.desc() if desc else c.asc() for k, desc in order for c in typed(j, k)])
     docs = docs.offset(skip) if skip else docs
     docs = docs.limit(limit) if limit is not None else docs
     return docs.select(*[get(j, f).alias(f) for f in fields]) if fields else docs
@@ -49,6 +64,19 @@ def compiled(doc: Column, needle: object, path: tuple = ()) -> Column | None:
     return get(doc, *path) == needle if isinstance(needle, str) and path else None
 
 
+@F.pandas_udf(BooleanType())
+def json_contains(doc: pd.Series, needle: pd.Series) -> pd.Series:
+    """doc @> needle of two JSON texts; null where one is null or no JSON."""
+
+    def one(d: str | None, n: str | None) -> bool | None:
+        try:
+            return None if d is None or n is None else contained(json.loads(n), json.loads(d))
+        except ValueError:
+            return None
+
+    return pd.Series([one(d, n) for d, n in zip(doc, needle)], dtype="boolean")
+
+
 def contains(doc: Column, needle: object) -> Column:
     """doc @> needle. Strings compile to path lookups that prefilter; the exact test tells a string from a number of its text."""
     text = json.dumps(needle)

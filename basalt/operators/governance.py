@@ -26,7 +26,7 @@ VALUE_PATTERNS: list[tuple[str, float, str]] = [
     ("Email", 0.9, r"^[^@]+@(?=.{3,})[^@]*\.[^@]*$"),
     ("Ssn", 0.95, r"^\d{3}-\d{2}-\d{4}$"),
     ("CreditCard", 0.9, r"^\d(?:[ -]?\d){12,18}$"),
-    ("Phone", 0.85, r"^\+?[\d() .-]*(?:\d[() .-]*){10,15}$"),
+    ("Phone", 0.85, r"^\+?[() .-]*(?:\d[() .-]*){10,15}$"),
     ("IpAddress", 0.9, r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"),
 ]
 

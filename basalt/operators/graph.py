@@ -82,6 +82,8 @@ def variable_paths(edges: DataFrame, sources: DataFrame, least: int, most: int)
         e = edges.select("src", "dst")
         paths = paths.join(e, paths.id == e.src).filter(~F.array_contains("path", F.col("dst")))
         paths = keep(paths.select("source", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path")))
+        if out is not None and paths.isEmpty():
+            break
         if n >= least:
             out = paths if out is None else out.unionByName(paths)
     return out

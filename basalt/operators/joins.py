@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import cos, radians
+from math import degrees, pi, sin
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,22 +30,36 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str,
     return found.filter((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("__bin")
 
 
+#: The sphere's radius in metres (fixed value).
+EARTH = 6_371_000
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres over a sphere of radius 6 371 000 m, from degrees."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 6_371_000 * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
-
-
-def radius_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a: str, lon_a: str, lat_b: str, lon_b: str, max_lat: float = 80.0) -> DataFrame:
-    """Pairs within `radius_m` by haversine, for latitudes up to `max_lat` from the equator and radii that
-    don't reach around the date line. Rows of `b` are copied to the neighbouring cells of a grid
-    whose cells are at least a radius wide, then pairs of equal cells are measured."""
-    step_lat = max(radius_m / 111_000 * 1.01, 1e-6)
-    step_lon = step_lat / cos(radians(max_lat))
-    cell = lambda lat, lon: (F.floor(F.col(lat) / step_lat).alias("__y"), F.floor(F.col(lon) / step_lon).alias("__x"))
-    left = a.select("*", *cell(lat_a, lon_a))
-    near = F.array(*map(F.lit, (-1, 0, 1)))
-    right = b.select("*", *cell(lat_b, lon_b)).withColumn("__dy", F.explode(near)).withColumn("__dx", F.explode(near))
-    right = right.withColumn("__y", F.col("__y") + F.col("__dy")).withColumn("__x", F.col("__x") + F.col("__dx")).drop("__dy", "__dx")
+    return 2 * EARTH * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+
+
+def radius_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a: str, lon_a: str, lat_b: str, lon_b: str) -> DataFrame:
+    """Pairs within `radius_m` by haversine, anywhere on the globe. A grid of bands as high as the radius
+    is cut, band by band, into cells as wide as the radius reaches there (a band near a pole is one
+    cell), counted around the globe, so that the date line is no edge. Rows of `b` are copied to the
+    cells beside their own in three bands, then pairs of equal cells are measured."""
+    half = min(radius_m / EARTH / 2, pi / 2)
+    high = max(degrees(2 * half) * 1.001, 1e-6)
+
+    def cells(band: Column) -> Column:
+        edge = F.greatest(F.abs((band - 1) * high - 90), F.abs((band + 2) * high - 90))  # bands beside it included
+        reach = F.when(edge >= 90, 1.0).otherwise(F.least(F.lit(1.0), F.lit(sin(half)) / F.cos(F.radians(edge))))
+        return F.greatest(F.lit(1.0), F.floor(359.9 / F.degrees(2 * F.asin(reach)))).cast("long")
+
+    def cell(lon: Column, n: Column) -> Column:
+        return F.least((F.pmod(lon + 180, F.lit(360.0)) * n / 360).cast("long"), n - 1)
+
+    band = lambda lat: F.floor((lat + 90) / high)
+    left = a.withColumn("__y", band(F.col(lat_a))).withColumn("__x", cell(F.col(lon_a), cells(F.col("__y"))))
+    right = b.withColumn("__y", F.explode(F.array(*[band(F.col(lat_b)) + d for d in (-1, 0, 1)])))
+    n = cells(F.col("__y"))
+    right = right.withColumn("__x", F.explode(F.array_distinct(F.array(*[F.pmod(cell(F.col(lon_b), n) + d, n) for d in (-1, 0, 1)]))))
     metres = haversine(F.col(lat_a), F.col(lon_a), F.col(lat_b), F.col(lon_b))
     return left.join(right, ["__y", "__x"]).drop("__y", "__x").withColumn("metres", metres).filter(F.col("metres") <= radius_m)

@@ -59,7 +59,9 @@ def diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 def merge(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
     """All rows of both, the source's where both have the key."""
-    return target.join(source, key, "left_anti").unionByName(source)
+    keys = source.select(*[F.col(k).alias(f"__{k}") for k in key])
+    same = [target[k].eqNullSafe(keys[f"__{k}"]) for k in key]
+    return target.join(keys, same, "left_anti").unionByName(source)
 
 
 def history(changes: DataFrame, key: list[str], ts: str) -> DataFrame:

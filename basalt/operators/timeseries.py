@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,12 +56,20 @@ def retain(points: DataFrame, max_age_ms: int, now: int | None = None) -> DataFr
 
 class ContinuousAggregate:
     """A table of bucket aggregates, kept up to a watermark. refresh() adds the buckets that have closed
-    since: those that end at or before the latest point. Points that come late for a bucket below the watermark don't change it."""
+    since: those that end at or before the latest point. Points that come late for a bucket below the
+    watermark don't change it. Until a first bucket has closed, the open one is kept apart and replaced by
+    each refresh. The watermark is in the table itself: another process goes on from it, and a refresh
+    that is run again overwrites its own part."""
 
     def __init__(self, spark: SparkSession, path: str, width: str | int, function: str):
         self.spark, self.path, self.function = spark, path, function
         self.width = BUCKETS[width] if isinstance(width, str) else width
         self.watermark: int | None = None
+        try:
+            self.watermark = spark.read.parquet(f"{path}/closed").agg(F.max("upto")).first()[0]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
 
     def refresh(self, points: DataFrame) -> int | None:
         """Returns the new watermark, the end of the last closed bucket."""
@@ -68,14 +77,18 @@ class ContinuousAggregate:
         if latest is None:
             return self.watermark
         closed = latest // self.width * self.width
+        if self.watermark is not None and closed <= self.watermark:
+            return self.watermark
         if self.watermark is None and points.filter(F.col("ts") < closed).isEmpty():
-            closed = latest + 1  # nothing has closed yet: take what there is
-        new = between(points, self.watermark, closed)
-        rows = aggregate(new, self.width, [self.function]).withColumnRenamed(self.function, "value")
-        rows.write.mode("overwrite" if self.watermark is None else "append").parquet(self.path)
+            self.buckets(points).write.mode("overwrite").parquet(f"{self.path}/open")
+            return None
+        self.buckets(between(points, self.watermark, closed)).write.mode("overwrite").parquet(f"{self.path}/closed/upto={closed}")
         self.watermark = closed
         return closed
 
+    def buckets(self, points: DataFrame) -> DataFrame:
+        return aggregate(points, self.width, [self.function]).withColumnRenamed(self.function, "value")
+
     def query(self, start: int | None = None, end: int | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(self.path)
+        rows = self.spark.read.parquet(f"{self.path}/open") if self.watermark is None else self.spark.read.parquet(f"{self.path}/closed").drop("upto")
         return between(rows.withColumnRenamed("bucket", "ts"), start, end).withColumnRenamed("ts", "bucket")

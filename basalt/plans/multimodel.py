@@ -48,7 +48,21 @@ GEO = "SELECT s_suppkey AS id, (s_suppkey * 37 % 1200) / 10.0 - 60 AS lat, (s_su
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = run_sql(spark, sf_dir, GEO).select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     b = at.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    return joins.radius_join(at.withColumnRenamed("id", "a"), b, 1_500_000, "lat", "lon", "lat_b", "lon_b", 61.0).filter("a < b").select("a", "b")
+    return joins.radius_join(at.withColumnRenamed("id", "a"), b, 1_500_000, "lat", "lon", "lat_b", "lon_b").filter("a < b").select("a", "b")
+
+
+WORLD = "SELECT s_suppkey AS id, (s_suppkey * 37 % 1801) / 10.0 - 90 AS lat, (s_suppkey * 91 % 3601) / 10.0 - 180 AS lon FROM supplier"
+
+
+@query(
+    "radius_join_world",
+    f"""SELECT a.id AS a, b.id AS b FROM ({WORLD}) a JOIN ({WORLD}) b ON a.id < b.id AND 2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2)
+        + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 2000000""",
+)
+def radius_join_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = run_sql(spark, sf_dir, WORLD).select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    b = at.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    return joins.radius_join(at.withColumnRenamed("id", "a"), b, 2_000_000, "lat", "lon", "lat_b", "lon_b").filter("a < b").select("a", "b")
 
 
 # Time series (2.10).
@@ -179,11 +193,11 @@ def vector_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "vector_batch_knn",
     """SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY -list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id) AS INT) AS rank
-       FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 7) t WHERE rank <= 5""",
+       FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) t WHERE rank <= 5""",
 )
 def vector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = dense(spark, sf_dir)
-    return vectors.batch_knn(v, v.filter("id % 100 = 7"), 5, "inner").select("query_id", "id", "rank")
+    return vectors.batch_knn(v, v.filter("id % 50 = 0"), 5, "inner").select("query_id", "id", "rank")
 
 
 @query("vector_ivf")
@@ -207,11 +221,14 @@ def vector_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge from the user of each event to the user of the next one."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("event_id")) % 60).alias("dst"), F.col("event_type").alias("type"), (F.col("event_id") % 9 + 1).cast("double").alias("weight")).filter("event_id % 5 = 0 and src <> dst")
+    after = e.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("dst"))
+    e = e.select("event_id", F.col("user_id").alias("src"), F.col("event_type").alias("type"), (F.col("event_id") % 9 + 1).cast("double").alias("weight"))
+    return e.join(after, "event_id").filter("src <> dst").select("src", "dst", "type", "weight")
 
 
-E = "(SELECT user_id AS src, (user_id * 7 + event_id) % 60 AS dst, event_type AS type, CAST(event_id % 9 + 1 AS DOUBLE) AS weight FROM events WHERE event_id % 5 = 0 AND user_id <> (user_id * 7 + event_id) % 60)"
+E = "(SELECT x.user_id AS src, y.user_id AS dst, x.event_type AS type, CAST(x.event_id % 9 + 1 AS DOUBLE) AS weight FROM events x JOIN events y ON y.event_id = x.event_id + 1 WHERE x.user_id <> y.user_id)"
 
 
 @query("graph_neighbors", f"SELECT DISTINCT dst AS id FROM {E} e WHERE src = 1 UNION SELECT src FROM {E} e WHERE dst = 1")
@@ -234,9 +251,9 @@ def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bfs(follows(spark, sf_dir), spark.sql("SELECT 1L AS id"), 4)
 
 
-@query("graph_dijkstra", f"WITH RECURSIVE e AS (SELECT src, dst, min(weight) AS w FROM {E} e GROUP BY ALL), b(id, d) AS (SELECT 1::BIGINT, 0.0::DOUBLE UNION SELECT dst, d + w FROM b JOIN e ON src = id WHERE d + w <= 12) SELECT id, min(d) AS distance FROM b GROUP BY id")
+@query("graph_dijkstra", f"WITH RECURSIVE e AS (SELECT src, dst, min(weight) AS w FROM {E} e GROUP BY ALL), most AS (SELECT 9.0 * count(DISTINCT src) AS m FROM e), b(id, d) AS (SELECT 1::BIGINT, 0.0::DOUBLE UNION SELECT dst, d + w FROM b JOIN e ON src = id, most WHERE d + w <= m) SELECT id, min(d) AS distance FROM b GROUP BY id")
 def graph_dijkstra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.dijkstra(follows(spark, sf_dir), 1).filter("distance <= 12")
+    return graph.dijkstra(follows(spark, sf_dir), 1)
 
 
 @query("graph_match", f"SELECT a.src AS a, a.dst AS b, b.dst AS c FROM {E} a JOIN {E} b ON a.dst = b.src WHERE a.type = 'purchase' AND b.type = 'signup'")
@@ -246,15 +263,15 @@ def graph_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(e.filter("type = 'signup'").select(F.col("src").alias("b"), F.col("dst").alias("c")), "b").select("a", "b", "c")
 
 
-@query("graph_variable_paths", f"WITH e AS (SELECT DISTINCT src, dst FROM {E} e WHERE type = 'error') SELECT count(*) AS n FROM (SELECT a.src FROM e a UNION ALL SELECT a.src FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst) t")
+@query("graph_variable_paths", f"WITH e AS (SELECT DISTINCT src, dst FROM {E} e) SELECT count(*) AS n FROM (SELECT a.src FROM e a UNION ALL SELECT a.src FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst) t")
 def graph_variable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = follows(spark, sf_dir).filter("type = 'error'").select("src", "dst").distinct()
+    e = follows(spark, sf_dir).select("src", "dst").distinct()
     return graph.variable_paths(e, e.select(F.col("src").alias("id")).distinct(), 1, 2).agg(F.count("*").alias("n"))
 
 
-@query("graph_components", f"WITH RECURSIVE e AS (SELECT src, dst FROM {E} e WHERE type = 'signup' UNION SELECT dst, src FROM {E} e WHERE type = 'signup'), r(id, c) AS (SELECT src, src FROM e UNION SELECT dst, c FROM r JOIN e ON src = id) SELECT id, min(c) AS component FROM r GROUP BY id")
+@query("graph_components", f"WITH RECURSIVE e AS (SELECT src, dst FROM {E} e UNION SELECT dst, src FROM {E} e), r(id, c) AS (SELECT src, src FROM e UNION SELECT dst, c FROM r JOIN e ON src = id) SELECT id, min(c) AS component FROM r GROUP BY id")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(follows(spark, sf_dir).filter("type = 'signup'"))
+    return graph.components(follows(spark, sf_dir))
 
 
 @query("graph_pagerank")
@@ -302,13 +319,28 @@ def cypher_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trade(spark, sf_dir).run("MATCH (s:Supplier)-[*1..3]->(r:Region) RETURN s, r")
 
 
+@query("cypher_open_range", "SELECT s_suppkey + 10000 AS s, n_regionkey + 100 AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def cypher_open_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trade(spark, sf_dir).run("MATCH (s:Supplier)-[*2..]->(r) RETURN s, r")
+
+
 # Datalog (2.15).
 
 
-@query("datalog_reach", f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {E} e WHERE type = 'signup'), r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src) SELECT CAST(a AS VARCHAR) AS c0, CAST(b AS VARCHAR) AS c1 FROM r")
+@query("datalog_reach", f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {E} e), r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src) SELECT CAST(a AS VARCHAR) AS c0, CAST(b AS VARCHAR) AS c1 FROM r")
 def datalog_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = datalog.Program(spark)
-    p.import_rows("edge", follows(spark, sf_dir).filter("type = 'signup'").select("src", "dst"))
+    p.import_rows("edge", follows(spark, sf_dir).select("src", "dst"))
+    p.rule("reach(X, Y) :- edge(X, Y)")
+    p.rule("reach(X, Y) :- reach(X, Z), edge(Z, Y)")
+    p.evaluate()
+    return p.query("reach(X, Y)")
+
+
+@query("datalog_null_facts", f"WITH RECURSIVE e AS (SELECT DISTINCT src, nullif(dst, 3) AS dst FROM {E} e), r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src) SELECT CAST(a AS VARCHAR) AS c0, CAST(b AS VARCHAR) AS c1 FROM r")
+def datalog_null_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = datalog.Program(spark)
+    p.import_rows("edge", follows(spark, sf_dir).select("src", F.expr("nullif(dst, 3)").alias("dst")))
     p.rule("reach(X, Y) :- edge(X, Y)")
     p.rule("reach(X, Y) :- reach(X, Z), edge(Z, Y)")
     p.evaluate()
@@ -338,11 +370,18 @@ def datalog_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Documents (2.13).
 
 
-@query("doc_find", "SELECT json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'error' ORDER BY json_extract_string(props, '$.k') DESC LIMIT 10")
+@query("doc_find", "SELECT json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'error' ORDER BY CAST(json_extract(props, '$.k') AS DOUBLE) DESC LIMIT 10")
 def doc_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.find(table(spark, sf_dir, "events").filter("event_type = 'error'"), "props", order=[("k", True)], fields=["k"], limit=10)
 
 
+@query("doc_find_two_keys", "SELECT e AS e, k AS k, id FROM (SELECT event_type AS e, json_extract_string(props, '$.k') AS k, CAST(event_id AS VARCHAR) AS id FROM events) t ORDER BY e DESC, CAST(k AS DOUBLE), CAST(id AS BIGINT) LIMIT 200")
+def doc_find_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    docs = events.select(F.to_json(F.struct(F.col("event_type").alias("e"), F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("event_id").alias("id"))).alias("doc"))
+    return documents.find(docs, "doc", order=[("e", True), ("k", False), ("id", False)], fields=["e", "k", "id"], limit=200)
+
+
 @query("doc_contains", "SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS VARCHAR) = '42'")
 def doc_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter(documents.contains(F.col("props"), {"k": 42})).select("event_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,12 +32,19 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
 
 
 class StreamLog:
-    """An append-only log of entries (ms, seq, fields). Ids are ms-seq and grow within one writer."""
+    """An append-only log of entries (ms, seq, fields). Ids are ms-seq and grow; a log that is opened again
+    goes on from its last id. One writer at a time."""
 
     SCHEMA = "ms long, seq long, fields map<string,string>"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.last = spark, path, (-1, -1)
+        try:
+            found = self.read().agg(F.max(F.struct("ms", "seq"))).first()[0]
+            self.last = tuple(found) if found else self.last
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
 
     def add(self, entries: list[tuple[int, dict[str, str]]]) -> list[str]:
         """XADD of a batch of (ms, fields)."""
@@ -97,11 +105,11 @@ class ConsumerGroup:
 
 
 def change_feed(stream: DataFrame, key: list[str], path: str, checkpoint: str, apply: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """CDC: every micro-batch is appended to a change table with its batch and a sequence in it."""
+    """CDC: every micro-batch is a part of a change table, with its batch and a sequence in it. A batch
+    that is run again overwrites its part, so no change is told twice."""
 
     def write(batch: DataFrame, n: int) -> None:
-        rows = batch.withColumn("batch", F.lit(n)).withColumn("seq", F.monotonically_increasing_id())
-        rows.write.mode("append").parquet(path)
+        batch.withColumn("seq", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/batch={n}")
         if apply:
             apply(batch, n)
 
