@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.functions import text as analysis
+from basalt.scratch import keep
 
 
 @dataclass
@@ -48,6 +52,26 @@ def bm25(index: Index, wanted: list[str], k: int | None = None, require_all: boo
     return out.limit(k) if k is not None else out
 
 
+def bm25_scan(
+    docs: DataFrame, doc: str, text: str, wanted: list[str], k: int | None = None, require_all: bool = False, tokens: Callable[[Column], Column] = analysis.tokens, k1: float = 1.2, b: float = 0.75
+) -> DataFrame:
+    """As bm25(), without an index: texts are cut once, and only a length and the counts of the wanted
+    terms are written for each document; statistics (one row) and scores come from those. No shuffle but the last sort."""
+    rows = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("t"))
+    count = lambda w: F.size(F.filter("t", lambda x: x == w))
+    rows = keep(rows.select("doc", F.size("t").alias("length"), *[count(w).alias(f"tf{i}") for i, w in enumerate(wanted)]))
+    rows = rows.filter("length > 0")
+    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]).first()
+    parts = []
+    for i in range(len(wanted)):
+        idf, tf = math.log((stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5) + 1), F.col(f"tf{i}")
+        parts.append(F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.lit(stats["mean"]))))
+    hit = [F.col(f"tf{i}") > 0 for i in range(len(wanted))]
+    rows = rows.filter(reduce(and_ if require_all else or_, hit, F.lit(bool(require_all and wanted))))
+    out = rows.select("doc", reduce(add, parts, F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "doc")
+    return out.limit(k) if k is not None else out
+
+
 def fuzzy_terms(index: Index, wanted: str, distance: int) -> DataFrame:
     """(term) of the index within `distance` edits of `wanted`. Length prunes before edits are counted."""
     vocabulary = index.postings.select("term").distinct().filter(F.abs(F.length("term") - len(wanted)) <= distance)

@@ -130,12 +130,12 @@ def bm25_oracle(words: str, having: str) -> str:
 
 @query("fts_bm25_any", bm25_oracle("'thea', 'ander', 'que'", ""))
 def fts_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(index(spark, sf_dir), ["thea", "ander", "que"], 20)
+    return search.bm25_scan(table(spark, sf_dir, "documents"), "doc_id", "text", ["thea", "ander", "que"], 20, tokens=plain_tokens)
 
 
 @query("fts_bm25_all", bm25_oracle("'the', 'of', 'and'", "HAVING count(*) = 3"))
 def fts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(index(spark, sf_dir), ["the", "of", "and"], 20, require_all=True)
+    return search.bm25_scan(table(spark, sf_dir, "documents"), "doc_id", "text", ["the", "of", "and"], 20, require_all=True, tokens=plain_tokens)
 
 
 @query("fts_index_terms", f"SELECT term, count(DISTINCT doc) AS docs, count(*) AS n FROM ({TOKENS}) t GROUP BY term")
