@@ -16,7 +16,7 @@ from basalt.operators.graph import variable_paths
 #: Hops of a pattern without an upper bound (fixed value).
 UNBOUNDED = 10
 NODE = re.compile(r"\(\s*(\w*)\s*(?::\s*(\w+))?\s*(\{[^}]*\})?\s*\)")
-EDGE = re.compile(r"(<?)-(?:\[\s*(\w*)\s*(?::\s*(\w+))?\s*(?:\*\s*(\d+)?\s*(\.\.)?\s*(\d+)?)?\s*\])?-(>?)")
+EDGE = re.compile(r"(<?)-(?:\[\s*(\w*)\s*(?::\s*(\w+))?\s*(?:(\*)\s*(\d+)?\s*(\.\.)?\s*(\d+)?)?\s*\])?-(>?)")
 CLAUSE = re.compile(r"\b(MATCH|WHERE|WITH|RETURN|ORDER\s+BY|LIMIT|CREATE|DELETE)\b", re.I)
 COMPARE = re.compile(r"^\s*(\w+)\.(\w+)\s*(=|<>|<=|>=|<|>)\s*(.+?)\s*$")
 
@@ -79,9 +79,9 @@ class Graph:
         return rows
 
     def expand(self, rows: DataFrame, a: str, b: str, node: DataFrame, kind: tuple) -> DataFrame:
-        left, var, type_, least, dots, most, right = kind
+        left, var, type_, star, least, dots, most, right = kind
         e = self.edges.filter(F.col("type") == type_) if type_ else self.edges
-        if least is not None or most is not None or dots:
+        if star:
             exact = least is not None and not dots
             lo, hi = int(least or 1), int(least if exact else most or UNBOUNDED)
             pairs = variable_paths(e, rows.select(F.col(a).alias("id")).distinct(), lo, hi)
