@@ -86,3 +86,63 @@ def distinct_estimate(rows: DataFrame, key: str, value: str) -> DataFrame:
 def bits(rows: DataFrame, key: str, offset: str) -> DataFrame:
     """BITCOUNT by key of the offsets set."""
     return rows.groupBy(key).agg(F.count_distinct(offset).alias("bits"))
+
+
+def list_commands(log: DataFrame) -> DataFrame:
+    """(key, items) after (seq, key, command, value) with commands lpush, rpush, lpop and rpop, in order of
+    seq; a pop of an empty list does nothing. A key's commands are folded in one row, as its list is one."""
+    ordered = log.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "command", "value"))).alias("l"))
+    none = F.array().cast(f"array<{log.schema['value'].dataType.simpleString()}>")
+
+    def step(s: Column, c: Column) -> Column:
+        fewer = F.greatest(F.size(s) - 1, F.lit(0))
+        pushed = F.when(c["command"] == "lpush", F.array_prepend(s, c["value"])).when(c["command"] == "rpush", F.array_append(s, c["value"]))
+        return pushed.when(c["command"] == "lpop", F.slice(s, 2, fewer)).when(c["command"] == "rpop", F.slice(s, 1, fewer)).otherwise(s)
+
+    return ordered.select("key", F.aggregate("l", none, step).alias("items"))
+
+
+def bitmaps(log: DataFrame) -> DataFrame:
+    """SETBIT: the (key, offset) that are set after (seq, key, offset, bit)."""
+    last = log.groupBy("key", "offset").agg(F.max_by("bit", "seq").alias("bit"))
+    return last.filter("bit = 1").select("key", "offset")
+
+
+def bit_operation(state: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """BITOP and, or, xor over (key, offset): the offsets set in the result."""
+    by = state.filter(F.col("key").isin(keys)).groupBy("offset").agg(F.count_distinct("key").alias("n"))
+    return by.filter({"and": F.col("n") == len(set(keys)), "or": F.lit(True), "xor": F.col("n") % 2 == 1}[how]).select("offset")
+
+
+def bit_position(state: DataFrame, bit: int) -> DataFrame:
+    """BITPOS: (key, position) of the first offset that is set, or of the first that isn't: 0, or the least
+    offset behind one that is set."""
+    if bit:
+        return state.groupBy("key").agg(F.min("offset").alias("position"))
+    offset = F.col("offset").cast("long")
+    behind = state.select("key", (offset + 1).alias("offset")).union(state.select("key", F.lit(0).cast("long")).distinct())
+    return behind.join(state.withColumn("offset", offset), ["key", "offset"], "left_anti").groupBy("key").agg(F.min("offset").alias("position"))
+
+
+def geo_sets(log: DataFrame) -> DataFrame:
+    """GEOADD: (key, member, lon, lat), the last of (seq, key, member, lon, lat)."""
+    return log.groupBy("key", "member").agg(F.max_by(F.struct("lon", "lat"), "seq").alias("at")).select("key", "member", "at.*")
+
+
+def metres(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """GEODIST: the great-circle distance of two places in degrees."""
+    x = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return F.lit(2 * 6_371_000) * F.asin(F.sqrt(F.least(F.lit(1.0), x)))
+
+
+def geo_radius(state: DataFrame, key: str, lon: float, lat: float, radius: float) -> DataFrame:
+    """GEORADIUS: (member, distance) within `radius` metres of a place."""
+    d = metres(F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat"))
+    return state.filter(F.col("key") == key).select("member", d.alias("distance")).filter(F.col("distance") <= radius)
+
+
+def geo_radius_by_member(state: DataFrame, key: str, member: object, radius: float) -> DataFrame:
+    """GEORADIUSBYMEMBER: (member, distance); the member itself is one of them. Its place is one row."""
+    at = F.broadcast(state.filter((F.col("key") == key) & (F.col("member") == member)).select(F.col("lon").alias("__lon"), F.col("lat").alias("__lat")).limit(1))
+    d = metres(F.col("__lon"), F.col("__lat"), F.col("lon"), F.col("lat"))
+    return state.filter(F.col("key") == key).join(at).select("member", d.alias("distance")).filter(F.col("distance") <= radius)

@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.operators.graph import variable_paths
+from basalt.scratch import keep
 
 #: Hops of a pattern without an upper bound (fixed value).
 UNBOUNDED = 10
 NODE = re.compile(r"\(\s*(\w*)\s*(?::\s*(\w+))?\s*(\{[^}]*\})?\s*\)")
 EDGE = re.compile(r"(<?)-(?:\[\s*(\w*)\s*(?::\s*(\w+))?\s*(?:(\*)\s*(\d+)?\s*(\.\.)?\s*(\d+)?)?\s*\])?-(>?)")
-CLAUSE = re.compile(r"\b(MATCH|WHERE|WITH|RETURN|ORDER\s+BY|LIMIT|CREATE|DELETE)\b", re.I)
+CLAUSE = re.compile(r"\b((?:OPTIONAL\s+)?MATCH|WHERE|WITH|RETURN|ORDER\s+BY|LIMIT|CREATE|DELETE)\b", re.I)
 COMPARE = re.compile(r"^\s*(\w+)\.(\w+)\s*(=|<>|<=|>=|<|>)\s*(.+?)\s*$")
 
 
@@ -78,6 +79,18 @@ class Graph:
                 kind, at = e.groups(), e.end()
         return rows
 
+    def optional(self, text: str, where: str | None, rows: DataFrame | None) -> DataFrame:
+        """Rows with what matches, and once with nulls those for which nothing does; without rows yet, one
+        row of nulls if nothing matches at all. The WHERE behind it belongs to the pattern."""
+        only = lambda found: found.filter(self.condition(where)) if where else found
+        if rows is None:
+            found = only(self.match(text, None))
+            return found if not found.isEmpty() else found.sparkSession.createDataFrame([(None,) * len(found.columns)], found.schema)
+        rows = keep(rows.withColumn("__row", F.monotonically_increasing_id()))
+        found = only(self.match(text, rows))
+        alone = rows.join(found.select("__row").distinct(), "__row", "left_anti")
+        return found.unionByName(alone, allowMissingColumns=True).drop("__row")
+
     def expand(self, rows: DataFrame, a: str, b: str, node: DataFrame, kind: tuple) -> DataFrame:
         left, var, type_, star, least, dots, most, right = kind
         e = self.edges.filter(F.col("type") == type_) if type_ else self.edges
@@ -116,10 +129,15 @@ class Graph:
         parts = CLAUSE.split(text)
         rows: DataFrame | None = None
         result: DataFrame | None = None
-        for word, body in zip(parts[1::2], parts[2::2]):
-            word = re.sub(r"\s+", " ", word.upper())
+        clauses = [(re.sub(r"\s+", " ", w.upper()), b) for w, b in zip(parts[1::2], parts[2::2])]
+        for i, (word, body) in enumerate(clauses):
             if word == "MATCH":
                 rows = self.match(body.strip(), rows)
+            elif word == "OPTIONAL MATCH":
+                where = clauses[i + 1][1] if i + 1 < len(clauses) and clauses[i + 1][0] == "WHERE" else None
+                rows = self.optional(body.strip(), where, rows)
+            elif word == "WHERE" and clauses[i - 1][0] == "OPTIONAL MATCH":
+                continue
             elif word == "WHERE":
                 rows = rows.filter(self.condition(body))
             elif word == "WITH":

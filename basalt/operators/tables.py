@@ -46,6 +46,27 @@ def delete(rows: DataFrame, where: Column) -> DataFrame:
     return rows.filter(~F.coalesce(where, F.lit(False)))
 
 
+def update_returning(rows: DataFrame, where: Column, **values: Column) -> DataFrame:
+    """What UPDATE … RETURNING * returns: the changed rows as they are afterwards."""
+    return update(rows.filter(F.coalesce(where, F.lit(False))), F.lit(True), **values)
+
+
+def delete_returning(rows: DataFrame, where: Column) -> DataFrame:
+    """What DELETE … RETURNING * returns: the rows that go."""
+    return rows.filter(F.coalesce(where, F.lit(False)))
+
+
+def upsert_returning(old: DataFrame, new: DataFrame, key: list[str], update: bool = True) -> DataFrame:
+    """What INSERT … ON CONFLICT … RETURNING * returns: rows inserted or changed; with DO NOTHING those inserted only."""
+    one = replacing(new, key, [c for c in new.columns if c not in key][0]) if len(new.columns) > len(key) else new.distinct()
+    return one if update else one.join(old, [old[k].eqNullSafe(one[k]) for k in key], "left_anti")
+
+
+def truncate(rows: DataFrame) -> DataFrame:
+    """TRUNCATE: the columns without rows; the scan is pruned."""
+    return rows.filter(F.lit(False))
+
+
 def diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """(key, change, before, after) for rows added, modified or deleted between two states."""
     rest = [c for c in old.columns if c not in key]

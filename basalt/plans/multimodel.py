@@ -451,6 +451,59 @@ def kv_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.distinct_estimate(table(spark, sf_dir, "events"), "event_type", "user_id")
 
 
+@query("kv_list_commands", "SELECT 'user:' || user_id AS key, array_to_string(list(event_type ORDER BY event_id)[1 + count(*) FILTER (WHERE event_type = 'purchase'):], ',') AS items FROM events GROUP BY user_id")
+def kv_list_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is pushed to the right; then each purchase pops one from the left."""
+    e = commands(spark, sf_dir)
+    pushes = e.select("seq", "key", F.lit("rpush").alias("command"), F.col("event_type").alias("value"))
+    pops = e.filter("event_type = 'purchase'").select((F.col("seq") + (1 << 50)).alias("seq"), "key", F.lit("lpop").alias("command"), F.lit(None).cast("string").alias("value"))
+    return kv.list_commands(pushes.unionByName(pops)).select("key", F.array_join("items", ",").alias("items"))
+
+
+def user_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bitmap for each kind of event, with a bit for each user, set by events of an odd id and cleared by those of an even one."""
+    e = table(spark, sf_dir, "events")
+    return kv.bitmaps(e.select(F.col("event_id").alias("seq"), F.col("event_type").alias("key"), F.col("user_id").alias("offset"), (F.col("event_id") % 2).alias("bit")))
+
+
+BITS = "(SELECT event_type AS key, user_id AS pos FROM events GROUP BY ALL HAVING max(event_id) % 2 = 1)"
+
+
+@query("kv_bit_operation", f"SELECT pos AS \"offset\" FROM {BITS} b WHERE key IN ('view', 'purchase') GROUP BY pos HAVING count(*) = 1")
+def kv_bit_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.bit_operation(user_bits(spark, sf_dir), ["view", "purchase"], "xor")
+
+
+@query("kv_bit_position", f"SELECT key, min(n) AS position FROM (SELECT DISTINCT key, n FROM {BITS} b, (SELECT unnest(range((SELECT max(user_id) + 2 FROM events))) AS n) t) x WHERE (key, n) NOT IN (SELECT (key, pos) FROM {BITS} b) GROUP BY key")
+def kv_bit_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.bit_position(user_bits(spark, sf_dir), 0)
+
+
+@query(
+    "kv_geo_radius",
+    f"""SELECT id AS member, d AS distance FROM (SELECT id, 2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians(48.85 - lat) / 2), 2)
+        + cos(radians(lat)) * cos(radians(48.85)) * pow(sin(radians(2.35 - lon) / 2), 2)))) AS d FROM ({GEO}) g) t WHERE d <= 5000000""",
+)
+def kv_geo_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = run_sql(spark, sf_dir, GEO).select(F.col("id").alias("seq"), F.lit("g").alias("key"), F.col("id").alias("member"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    return kv.geo_radius(kv.geo_sets(at), "g", 2.35, 48.85, 5_000_000.0)
+
+
+@query("row_update_returning", "SELECT s_suppkey, 0.0 AS s_acctbal FROM supplier WHERE s_acctbal < 0")
+def row_update_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.update_returning(table(spark, sf_dir, "supplier"), F.col("s_acctbal") < 0, s_acctbal=F.lit(0.0)).select("s_suppkey", "s_acctbal")
+
+
+@query("row_delete_returning", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3")
+def row_delete_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.delete_returning(table(spark, sf_dir, "supplier"), F.col("s_nationkey") == 3).select("s_suppkey", "s_name")
+
+
+@query("cypher_optional_match", "SELECT n_nationkey + 1000 AS n, s_suppkey + 10000 AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000")
+def cypher_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trade(spark, sf_dir).run("MATCH (n:Nation) OPTIONAL MATCH (n)<-[:IN]-(s:Supplier) WHERE s.balance > 5000 RETURN n, s")
+
+
 # Merge trees, row changes, versions (2.1, 2.19).
 
 
