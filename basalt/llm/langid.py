@@ -28,7 +28,7 @@ STARTS = [a for a, _ in SCRIPTS]
 #: Words whose scores one worker remembers; none is longer than LONGEST letters.
 REMEMBERED = 200_000
 #: Characters of texts that are labelled side by side, about, or one text more; texts taken from a batch at once.
-AT_ONCE, TEXTS = 2_000_000, 256
+AT_ONCE, TEXTS = 500_000, 64
 #: Longest run of letters scored as one word; longer ones, as in scripts without spaces, are cut.
 LONGEST = 64
 
