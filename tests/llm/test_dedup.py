@@ -165,6 +165,30 @@ def test_passages(spark):
     assert passages.near_passages(frame(spark, [])).count() == 0
 
 
+def test_no_pair_with_a_common_passage_is_lost(spark):
+    """All pairs of few documents; of many that share a passage a row for each that tells which words."""
+    rng = random.Random(12)
+    words = lambda n: [f"v{rng.randrange(100000)}" for _ in range(n)]
+    few, many = words(70), words(56)
+    rows = [(i, " ".join(words(30) + few[i % 3 * 8 : i % 3 * 8 + 54] + words(30))) for i in range(20)]
+    rows += [(100 + i, " ".join(words(i % 40) + many[i % 2 * 3 : i % 2 * 3 + 53] + words(40))) for i in range(passages.GROUP + 16)]
+    got = passages.near_passages(frame(spark, rows)).collect()
+    pairs, members = {(r.doc_id, r.other_id) for r in got}, {}
+    for r in got:
+        if r.member:
+            x, y = (rows[i if i < 20 else i - 80][1].split() for i in (r.doc_id, r.other_id))
+            assert x[r.start_word : r.start_word + r.n_words] == y[r.other_start : r.other_start + r.other_words] and r.n_words >= 50
+            members.setdefault(r.doc_id, []).append((r.other_id, r.other_start, r.other_start + r.other_words))
+    for i in range(20):
+        for j in range(20):
+            assert i == j or abs(i % 3 - j % 3) > 1 or (i, j) in pairs
+    assert members
+    for i, _ in rows[20:]:
+        for j, _ in rows[20:]:
+            both = [(x, y) for x in members.get(i, []) for y in members.get(j, []) if x[0] == y[0] and min(x[2], y[2]) - max(x[1], y[1]) >= 50]
+            assert i == j or (i, j) in pairs or both
+
+
 def test_alignment_needs_no_link_in_each_run():
     words = [f"w{i}" for i in range(54)]
     edited = [*words[:45], "changed", *words[46:]]
