@@ -7,6 +7,8 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ STARTS = [a for a, _ in SCRIPTS]
 #: Words whose scores one worker remembers; none is longer than LONGEST letters.
 REMEMBERED = 200_000
 #: Characters of texts that are labelled side by side, about, or one text more; texts taken from a batch at once.
-AT_ONCE, TEXTS = 500_000, 64
+AT_ONCE, TEXTS = 1_000_000, 64
 #: Longest run of letters scored as one word; longer ones, as in scripts without spaces, are cut.
 LONGEST = 64
 
@@ -39,7 +41,7 @@ def script(letter: str) -> str:
 
 def words(text: str) -> list[str]:
     found = WORD.findall(text.lower())
-    if any(len(w) > LONGEST for w in found):
+    if found and max(map(len, found)) > LONGEST:
         found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
 
@@ -47,7 +49,8 @@ def words(text: str) -> list[str]:
 def grams(word: str) -> list[str]:
     """Runs of one to three letters, with marks at the ends of the word, and the word itself."""
     w = f"<{word}>"
-    return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)] + ["=" + word]
+    two = list(map(add, w, w[1:]))
+    return [*w, *two, *map(add, two, w[2:]), "=" + word]
 
 
 @dataclass
@@ -69,15 +72,18 @@ class Model:
         if "place" not in self.__dict__:
             self.place = {g: i for i, g in enumerate(self.grams)}
         get, none = self.place.get, len(self.place)
-        flat = [get(g, none) for w in found for g in grams(w)]
+        flat = list(map(get, chain.from_iterable(map(grams, found)), repeat(none)))
         n = np.array([3 * len(w) + 4 for w in found])  # runs of one, two, three letters of <word>, and the word
         total = np.add.reduceat(self.table[flat], np.cumsum(n) - n, axis=0) / 3  # each letter is in about three runs
+        by: dict[str, list[int]] = {}
         for k, w in enumerate(found):
-            able = self.scripts.get(script(w[0]))
+            by.setdefault(w[0], []).append(k)
+        for c, at in by.items():
+            able = self.scripts.get(script(c))
             if able is None:
-                total[k] = 0
+                total[at] = 0
             elif len(able) < len(self.langs):
-                total[k, [i for i in range(len(self.langs)) if i not in able]] = -1e4
+                total[np.ix_(at, [i for i in range(len(self.langs)) if i not in able])] = -1e4
         return np.maximum(total - total.max(1, keepdims=True), -50.0)
 
     def index(self, found: list[list[str]]) -> list[np.ndarray]:
@@ -113,27 +119,33 @@ class Model:
             return out
         lens = np.array([len(found[i]) for i in order])
         starts = np.cumsum(lens) - lens
-        s = self.rows[np.concatenate([found[i] for i in order])]
         longest = int(lens[0])
-        active = np.searchsorted(-lens, -np.arange(longest), side="left").tolist()  # texts with over t words
-        moved = np.zeros(len(s), np.int8)  # the best language before each word
-        stays = np.zeros((len(s), len(self.langs)), bool)
-        v = s[starts].copy()
-        for t in range(1, longest):
-            n = active[t]
-            at, head = starts[:n] + t, v[:n]
-            top = head.max(1, keepdims=True)
-            moved[at] = head.argmax(1)
-            head -= top
-            stays[at] = head >= -self.penalty
+        active = np.searchsorted(-lens, -np.arange(longest), side="left")  # texts with over t words
+        # The t-th words of all texts stand together, longest text first: the place of each text's words.
+        begins = np.cumsum(active) - active
+        text = np.repeat(np.arange(len(lens)), lens)
+        place = begins[np.arange(len(text)) - starts[text]] + text
+        rows = np.empty(len(place), np.int64)
+        rows[place] = np.concatenate([found[i] for i in order])
+        s = np.ascontiguousarray(self.rows[rows].T)  # scores; in place of them what each language is behind the best before the word
+        steps = list(zip(begins.tolist(), active.tolist()))
+        v = s[:, : len(lens)].copy()
+        for a, n in steps[1:]:
+            head, here = v[:, :n], s[:, a : a + n]
+            head -= head.max(0)
+            behind = head.copy()
             np.maximum(head, -self.penalty, out=head)
-            head += s[at]
-        path = np.empty(len(s), np.int8)
-        path[starts + lens - 1] = v.argmax(1)
-        for t in range(longest - 1, 0, -1):
-            at = starts[: active[t]] + t
-            now = path[at]
-            path[at - 1] = np.where(stays[at, now], now, moved[at])
+            head += here
+            here[:] = behind
+        moved = s.argmax(0).astype(np.int8)  # the best language before each word
+        stays = s >= -self.penalty
+        path = np.empty(len(place), np.int8)
+        path[place[starts + lens - 1]] = v.argmax(0)
+        each = np.arange(len(lens))
+        for (before, _), (a, n) in zip(steps[-2::-1], steps[:0:-1]):
+            now = path[a : a + n]
+            path[before : before + n] = np.where(stays[now, a + each[:n]], now, moved[a : a + n])
+        path = path[place]
         for i, a, n in zip(order, starts.tolist(), lens.tolist()):
             out[i] = (found[i], path[a : a + n])
         return out

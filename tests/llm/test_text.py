@@ -347,3 +347,22 @@ def test_deduplication_keeps_different_texts_of_one_id(spark):
     docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string, n_chars long")
     for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup):
         assert sorted(r.text for r in stage(spark, docs, "").collect()) == sorted(texts)
+
+
+def test_labels_side_by_side_are_those_of_each_text():
+    rng = np.random.default_rng(4)
+    model = langid.Model(["a", "b", "c"], list("<>xyz"), rng.normal(size=(6, 3)).astype(np.float32) * 9, {"Latin": [0, 1, 2]}, penalty=2.0)
+    texts = [" ".join("".join(rng.choice(list("xyz"), rng.integers(1, 4))) for _ in range(n)) for n in (5, 0, 40, 1, 17, 40)]
+    for text, (found, path) in zip(texts, model.label(texts)):
+        v, back = None, []
+        for s in model.rows[found]:
+            if v is None:
+                v = s.copy()
+                continue
+            v = v - v.max()
+            back.append(np.where(v >= -2.0, np.arange(3), v.argmax()))
+            v = np.maximum(v, np.float32(-2.0)) + s
+        want = [] if v is None else [int(v.argmax())]
+        for b in back[::-1]:
+            want.append(int(b[want[-1]]))
+        assert path.tolist() == want[::-1]
