@@ -22,7 +22,7 @@ SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Pairs of tokens remembered by one worker; bytes of chunks and ids remembered, the objects' own size included;
 #: longer chunks aren't remembered.
-PAIRS, REMEMBERED, OBJECTS, LONGEST = 500_000, 128 << 20, 220, 256
+PAIRS, REMEMBERED, OBJECTS, LONGEST = 300_000, 96 << 20, 220, 256
 
 
 class Prefixes:
@@ -77,12 +77,14 @@ class Bpe:
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was remembered before; what is met again moves on
         self.used = 0
         ends: dict[bytes, set[int]] = {}
         for t in self.ranks:
-            ends.setdefault(t[-2:], set()).add(len(t))
-        #: Lengths that tokens have, longest first, by their last two bytes.
-        self.ends = {k: sorted(v | ({1} if len(k) == 2 else set()), reverse=True) for k, v in ends.items()}
+            ends.setdefault(t[-4:], set()).add(len(t))
+        #: Lengths that tokens have, longest first, by the last bytes, four or fewer, that a prefix ends with.
+        same: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self.ends = {k: same.setdefault(n, n) for k, v in ends.items() for n in [tuple(sorted(v | {n for n in range(1, len(k)) if k[-n:] in self.ranks}, reverse=True))]}
         self.table = np.array([len(self.tokens.get(i, b"")) for i in range(max(self.tokens) + 1)], np.int64)
 
     def split(self, token: int) -> tuple[int, int] | None:
@@ -126,13 +128,23 @@ class Bpe:
 
     def extend(self, data: bytes, last: list[int], lo: int, hi: int) -> None:
         """Append to `last` the last tokens of the prefixes of `data` that end at lo+1..hi."""
-        ranks, ends, fits = self.ranks, self.ends, self.fits
+        ranks, ends, pairs, fits = self.ranks.get, self.ends.get, self.pairs.get, self.fits
         for i in range(lo + 1, hi + 1):
-            for n in ends.get(data[i - 2 : i] if i > 1 else data[:1], (1,)):
+            k = i - 4 if i > 4 else 0
+            while (lengths := ends(data[k:i])) is None and k < i:
+                k += 1
+            for n in lengths or ():
                 if n > i:
                     continue
-                t = ranks.get(data[i - n : i])
-                if t is not None and (n == i or fits(last[i - n - 1], t)):
+                t = ranks(data[i - n : i])
+                if t is None:
+                    continue
+                if n == i:
+                    last.append(t)
+                    break
+                a = last[i - n - 1]
+                good = pairs((a, t))
+                if good or (good is None and fits(a, t)):
                     last.append(t)
                     break
             else:
@@ -143,12 +155,13 @@ class Bpe:
         return [whole] if whole is not None else Prefixes(self, data).ids()
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = [i for p in self.pattern.findall(chunk) for i in self.piece(p.encode("utf-8", "replace"))]
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(chunk)
+        if packed is None:
+            ids = [i for p in self.pattern.findall(chunk) for i in self.piece(p.encode("utf-8", "replace"))]
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) <= LONGEST:
-            if self.used > REMEMBERED:
-                self.chunks.clear()
-                self.used = 0
+            if self.used > REMEMBERED // 2:
+                self.older, self.chunks, self.used = self.chunks, {}, 0
             self.chunks[chunk] = packed
             self.used += len(chunk) + len(packed) + OBJECTS
         return packed

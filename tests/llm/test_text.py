@@ -349,6 +349,16 @@ def test_deduplication_keeps_different_texts_of_one_id(spark):
         assert sorted(r.text for r in stage(spark, docs, "").collect()) == sorted(texts)
 
 
+def test_chunks_met_again_stay_remembered(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    encoder = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    worked_out, piece = [], encoder.piece
+    monkeypatch.setattr(encoder, "piece", lambda data: worked_out.append(data) or piece(data))
+    for i in range(400):
+        encoder.packed(f" often u{i}x")
+    assert worked_out.count(b" often") == 1
+
+
 def test_labels_side_by_side_are_those_of_each_text():
     rng = np.random.default_rng(4)
     model = langid.Model(["a", "b", "c"], list("<>xyz"), rng.normal(size=(6, 3)).astype(np.float32) * 9, {"Latin": [0, 1, 2]}, penalty=2.0)
