@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basalt.llm.common import give_back, take_turn
+
 #: Code points with Unicode's White_Space (fixed values), as a class of a pattern.
 SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Cuts a text where white space begins or, before one word, a single space does. Every match of the
@@ -179,7 +181,8 @@ _loaded: dict[tuple[str, str], Bpe] = {}
 
 
 def load(path: str, pattern: str) -> Bpe:
-    """One encoder for each worker."""
+    """One encoder for each worker, until another operator works there."""
+    take_turn("bpe", _loaded.clear)
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Bpe(path, pattern)
     return _loaded[path, pattern]
@@ -208,6 +211,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
                 if ids:
                     out["token_ids"] = pa.array([a.astype(np.int32) for a in arrays], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
+        give_back()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids

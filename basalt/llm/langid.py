@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basalt.llm.common import give_back, take_turn
+
 #: A word: letters that touch.
 WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges (fixed values of the Unicode blocks), each up to the next.
@@ -27,10 +29,10 @@ SCRIPTS = [
     (0xAC00, "Hangul"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFF66, "Kana"), (0x20000, "Han"),
 ]
 STARTS = [a for a, _ in SCRIPTS]
-#: Words whose scores one worker remembers; none is longer than LONGEST letters.
-REMEMBERED = 200_000
+#: Words whose scores a task remembers, none longer than LONGEST letters; words scored at once.
+REMEMBERED, SCORED = 200_000, 5_000
 #: Characters of texts that are labelled side by side, about, or one text more; texts taken from a batch at once.
-AT_ONCE, TEXTS = 1_000_000, 64
+AT_ONCE, TEXTS = 500_000, 64
 #: Longest run of letters scored as one word; longer ones, as in scripts without spaces, are cut.
 LONGEST = 64
 
@@ -86,6 +88,12 @@ class Model:
                 total[np.ix_(at, [i for i in range(len(self.langs)) if i not in able])] = -1e4
         return np.maximum(total - total.max(1, keepdims=True), -50.0)
 
+    def forget(self) -> None:
+        """Let go of the words remembered; the next text begins anew."""
+        self.cache.clear()
+        for name in ("place", "rows", "letters", "known"):
+            self.__dict__.pop(name, None)
+
     def index(self, found: list[list[str]]) -> list[np.ndarray]:
         """Where the words of each text are in rows (scores), letters and known (script of a language)."""
         for _ in range(2):
@@ -98,7 +106,7 @@ class Model:
         if new:
             used = len(self.cache)
             self.cache.update(zip(new, range(used, used + len(new))))
-            parts = [self.score(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
+            parts = [self.score(new[i : i + SCORED]) for i in range(0, len(new), SCORED)]
             fresh = (np.concatenate(parts).astype(np.float32), np.array([len(w) for w in new]), np.array([script(w[0]) in self.scripts for w in new]))
             if not used or used + len(new) > len(self.rows):
                 room = max(REMEMBERED, used + len(new)) if used else max(2 * len(new), 1)
@@ -184,6 +192,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column
     kept = kept.filter(F.col("place") <= F.lit(last)).orderBy("place", "text", "lang").limit(sample).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("langid")
         n: Counter[tuple[str, str]] = Counter()
         for b in batches:
             for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -193,6 +202,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column
                 n[k, "@"] += 1
         keys = list(n)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([g for _, g in keys], pa.string()), pa.array([n[x] for x in keys], pa.int64())], ["lang", "gram", "n"])
+        del n, keys
+        give_back()
 
     found = kept.repartition(12).mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = found.filter("n > 1 or gram like '#%' or gram = '@'").toPandas()
@@ -219,6 +230,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was learnt from
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        take_turn("langid")
         model = shared.value
         for b in batches:
             lang, score = [], []
@@ -232,6 +244,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                     score += [x for _, x in got]
                     texts, size = [], 0
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+        if model:
+            model.forget()
+        give_back()
 
     take = F.arrow_udf(_typed(run), "lang_pred string, score double")
     got = docs.drop("lang_pred", "score").withColumn("__lang", take(F.col(text)))

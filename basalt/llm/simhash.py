@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from basalt.llm.common import Scratch, lookup
+from basalt.llm.common import Scratch, give_back, lookup, take_turn
 from basalt.llm.components import connected_components
 
 #: Generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the binary Golay code: length 23, covering radius 3, perfect.
@@ -157,12 +157,14 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     nodes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("simhash")
         for b in batches:
             fp = b.column("fp").to_numpy()
             for lo in range(0, len(fp), 4096):
                 part = fp[lo : lo + 4096]
                 row, a, own = anchors(part, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(part[row]), pa.array(own)], ["anchor", "fp", "own"])
+        give_back()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
@@ -181,6 +183,8 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
                 yield from out(held)
                 held = [x[held[2]] for x in held]
         yield from out(held)
+        del held
+        give_back()
 
     sent = nodes.select("fp").mapInArrow(replicate, "anchor long, fp long, own boolean")
     sent = sent.repartition("anchor").sortWithinPartitions("anchor", F.desc("own"))

@@ -3,12 +3,13 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from basalt.llm import langid, simhash
+from basalt.llm import bpe, common, langid, simhash
 from tests.llm.test_text import BYTE, public_tokenizers
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,3 +119,19 @@ def test_odd_inputs(spark, data, name, stage):
     assert out.count() == {"language_id": 3, "exact_dedup": 3, "simhash_near_dedup": 3, "byte_bpe": 8}.get(name, out.count())
     if name == "mixing":
         assert {(r.doc_id, r.text) for r in out.collect()} <= {(2, "one two three"), (2, "other words here")}
+
+
+def test_an_operator_forgets_when_another_takes_its_worker():
+    """Workers are used again: what byte_bpe or language_id remember mustn't stay beside the next stage."""
+    encoder = bpe.load(BYTE, public_tokenizers.PATTERN)
+    assert bpe.load(BYTE, public_tokenizers.PATTERN) is encoder
+    common.take_turn("langid")
+    assert not bpe._loaded
+    again = bpe.load(BYTE, public_tokenizers.PATTERN)
+    assert again is not encoder and again.packed("the house, wasser") == encoder.packed("the house, wasser")
+
+    model = langid.Model(["de", "en"], ["<", ">", "a", "b", "ab"], np.log(np.array([[5, 5], [5, 5], [1, 6], [6, 1], [2, 2], [1, 1]], np.float32)), {"Latin": [0, 1]})
+    first = model.predict(["aa bb", "a b ab", None, "12"])
+    assert model.cache
+    model.forget()
+    assert not model.cache and not hasattr(model, "rows") and model.predict(["aa bb", "a b ab", None, "12"]) == first
