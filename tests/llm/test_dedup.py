@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from basalt.llm import exact, passages, simhash
+from basalt.llm import common, exact, passages, simhash
 from basalt.llm.common import Scratch, lookup
 from basalt.llm.components import connected_components
 
@@ -238,3 +238,22 @@ def test_repeated_lines_give_one_passage():
     line = [f"w{i}" for i in range(12)]
     x = passages.shingles(passages.words(" ".join(line * 20)), 5)
     assert passages.align(x, x.copy(), [(0, 0), (12, 24)], 5, 50, 0.8) == [(0, 240, 0, 240, 1.0)]
+
+
+def test_texts_of_a_cell_beyond_the_bound_are_in_a_file(monkeypatch):
+    monkeypatch.setattr(passages, "KEPT", 100)
+    rng, texts = np.random.default_rng(2), passages.Texts()
+    for _ in range(2):
+        want = {i: rng.integers(0, 1 << 60, n).astype(np.uint64) for i, n in enumerate([60, 70, 0, 30, 500])}
+        for i, x in want.items():
+            texts[i] = x
+        assert list(texts.held) == [0, 2, 3] and all((texts[i] == x).all() and len(texts[i]) == len(x) for i, x in want.items())
+        texts.clear()
+
+
+def test_marked_rows(spark):
+    rows = spark.range(2000).withColumn("text", F.lit("x"))
+    keys = spark.range(0, 4000, 7)
+    got = {r.id for r in common.marked(rows, keys, "id").collect()}
+    assert set(range(0, 2000, 7)) <= got and len(got) < 300
+    assert common.marked(rows, keys.limit(0), "id").count() == 0
