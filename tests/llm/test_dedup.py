@@ -257,3 +257,15 @@ def test_marked_rows(spark):
     got = {r.id for r in common.marked(rows, keys, "id").collect()}
     assert set(range(0, 2000, 7)) <= got and len(got) < 300
     assert common.marked(rows, keys.limit(0), "id").count() == 0
+
+
+def test_passages_of_repeated_rows_and_of_texts_with_one_id(spark):
+    """Repeated rows count once; different texts of one id all take part, also in large classes."""
+    rng = random.Random(13)
+    words = lambda n: [f"v{rng.randrange(100000)}" for _ in range(n)]
+    one, two, many = words(60), words(60), words(56)
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(words(9) + one)), (3, " ".join(two + words(9))), (2, None)]
+    rows += [(100 + i, " ".join(words(i % 40) + many + words(40))) for i in range(passages.GROUP + 16)]
+    rows += [(170, " ".join(words(300) + many)), rows[2], rows[2], rows[9], rows[9]]
+    got = [tuple(r) for r in passages.near_passages(frame(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and {(1, 2), (1, 3)} <= {r[:2] for r in got}
