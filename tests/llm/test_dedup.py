@@ -4,6 +4,8 @@ import hashlib
 import inspect
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -269,3 +271,24 @@ def test_passages_of_repeated_rows_and_of_texts_with_one_id(spark):
     rows += [(170, " ".join(words(300) + many)), rows[2], rows[2], rows[9], rows[9]]
     got = [tuple(r) for r in passages.near_passages(frame(spark, rows)).collect()]
     assert len(got) == len(set(got)) and {(1, 2), (1, 3)} <= {r[:2] for r in got}
+
+
+def test_home_of_pairs():
+    """Keys of many rows come first, those of over SLOT rows last, and one key has one home."""
+    keys = np.array([-5, 1 << 40, 77 << 50, 12], np.int64)
+    small, large, most, over = passages.home(keys, np.array([2, 60, passages.SLOT, passages.SLOT + 1])).tolist()
+    assert most < large < small < over
+    assert len(set(passages.home(np.repeat(keys, 3), np.full(12, 9)).tolist())) == 4
+
+
+def test_sweep_deletes_shuffles_of_ended_writes(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: set(re.findall(r"shuffle_\w+\.data", disk.getAllFiles().toString()))
+    before, scratch = held(), Scratch(spark)
+    kept = scratch.keep(spark.range(1000).repartition(3, "id"))
+    made = held() - before
+    until = time.time() + 20
+    while made & held() and time.time() < until:
+        scratch.sweep()
+        time.sleep(0.2)
+    assert made and not made & held() and kept.count() == 1000
