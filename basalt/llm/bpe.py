@@ -25,6 +25,8 @@ CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Pairs of tokens remembered by one worker; bytes of chunks and ids remembered, the objects' own size included;
 #: longer chunks aren't remembered.
 PAIRS, REMEMBERED, OBJECTS, LONGEST = 300_000, 96 << 20, 220, 256
+#: Steps from state to state remembered by one worker, those within tokens included.
+STEPS = 400_000
 
 
 class Prefixes:
@@ -51,19 +53,20 @@ class Prefixes:
         old, moved = self.last, len(more) - (hi - lo)
         self.data = self.data[:lo] + more + self.data[hi:]
         self.last = old[:lo]
-        agree, i = 0, lo
+        agree, i, state = 0, lo, None
         while i < len(self.data) and agree < self.bpe.longest:
-            self.bpe.extend(self.data, self.last, i, i + 1)
+            state = self.bpe.extend(self.data, self.last, i, i + 1, state)
             agree = agree + 1 if i >= lo + len(more) and self.last[i] == old[i - moved] else 0
             i += 1
         self.last += old[i - moved :] if i < len(self.data) else []
         return i - lo
 
     def ids(self) -> list[int]:
-        out, i = [], len(self.data)
+        out, i, last, sizes = [], len(self.data), self.last, self.bpe.sizes
         while i:
-            out.append(self.last[i - 1])
-            i -= len(self.bpe.tokens[out[-1]])
+            t = last[i - 1]
+            out.append(t)
+            i -= sizes[t]
         return out[::-1]
 
 
@@ -81,13 +84,19 @@ class Bpe:
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was remembered before; what is met again moves on
         self.used = 0
-        ends: dict[bytes, set[int]] = {}
-        for t in self.ranks:
-            ends.setdefault(t[-4:], set()).add(len(t))
-        #: Lengths that tokens have, longest first, by the last bytes, four or fewer, that a prefix ends with.
-        same: dict[tuple[int, ...], tuple[int, ...]] = {}
-        self.ends = {k: same.setdefault(n, n) for k, v in ends.items() for n in [tuple(sorted(v | {n for n in range(1, len(k)) if k[-n:] in self.ranks}, reverse=True))]}
-        self.table = np.array([len(self.tokens.get(i, b"")) for i in range(max(self.tokens) + 1)], np.int64)
+        self.sizes = [len(self.tokens.get(i, b"")) for i in range(max(self.tokens) + 1)]
+        # States: beginnings of tokens, the empty one first. The state behind a text is the longest that it ends with,
+        # and has all tokens that it ends with (size, id), longest first. Steps that a state lacks are those of its longest
+        # shorter state; they are remembered as they come.
+        states = {w: k for k, w in enumerate(sorted({t[:n] for t in self.ranks for n in range(len(t) + 1)}, key=len))}
+        self.steps = {states[w[:-1]] << 8 | w[-1]: k for w, k in states.items() if w}
+        self.shorter, self.ending = [0], [()]
+        for w, k in states.items():
+            if w:
+                self.shorter.append(self.step(self.shorter[states[w[:-1]]] << 8 | w[-1]) if len(w) > 1 else 0)
+                own, t = self.ending[self.shorter[k]], self.ranks.get(w)
+                self.ending.append(own if t is None else ((len(w), t), *own))
+        self.table = np.array(self.sizes, np.int64)
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes `token`; None for single bytes."""
@@ -128,29 +137,40 @@ class Bpe:
             else:
                 limit, y = y + 1, right[0]
 
-    def extend(self, data: bytes, last: list[int], lo: int, hi: int) -> None:
-        """Append to `last` the last tokens of the prefixes of `data` that end at lo+1..hi."""
-        ranks, ends, pairs, fits = self.ranks.get, self.ends.get, self.pairs.get, self.fits
-        for i in range(lo + 1, hi + 1):
-            k = i - 4 if i > 4 else 0
-            while (lengths := ends(data[k:i])) is None and k < i:
-                k += 1
-            for n in lengths or ():
+    def step(self, key: int) -> int:
+        """The state behind a state and a byte, given as state << 8 | byte."""
+        got = self.steps.get(key)
+        if got is None:
+            got = self.step(self.shorter[key >> 8] << 8 | key & 255) if key >> 8 else 0
+            if len(self.steps) < STEPS:
+                self.steps[key] = got
+        return got
+
+    def extend(self, data: bytes, last: list[int], lo: int, hi: int, state: int | None = None) -> int:
+        """Append to `last` the last tokens of the prefixes of `data` that end at lo+1..hi. Takes the state behind
+        the first lo bytes, if known, and returns the one behind the first hi."""
+        step, ending, pairs, fits = self.steps.get, self.ending, self.pairs.get, self.fits
+        if state is None:
+            state = 0
+            for c in data[max(0, lo - self.longest) : lo]:
+                state = self.step(state << 8 | c)
+        for i in range(lo, hi):
+            key = state << 8 | data[i]
+            state = step(key)
+            if state is None:
+                state = self.step(key)
+            for n, t in ending[state]:
                 if n > i:
-                    continue
-                t = ranks(data[i - n : i])
-                if t is None:
-                    continue
-                if n == i:
                     last.append(t)
                     break
-                a = last[i - n - 1]
+                a = last[i - n]
                 good = pairs((a, t))
                 if good or (good is None and fits(a, t)):
                     last.append(t)
                     break
             else:
                 raise ValueError("no token ends here")
+        return state
 
     def piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)

@@ -376,3 +376,18 @@ def test_labels_side_by_side_are_those_of_each_text():
         for b in back[::-1]:
             want.append(int(b[want[-1]]))
         assert path.tolist() == want[::-1]
+
+
+def test_bpe_states(monkeypatch):
+    """Behind any text the state has all tokens that the text ends with, longest first, and few steps are remembered."""
+    b, text = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), "internationalisation été 1999 aaaaaaaaaa".encode()
+    monkeypatch.setattr(bpe, "STEPS", len(b.steps) + 2)
+    state = 0
+    for i in range(1, len(text) + 1):
+        state = b.step(state << 8 | text[i - 1])
+        assert list(b.ending[state]) == [(n, b.ranks[text[i - n : i]]) for n in range(min(i, b.longest), 0, -1) if text[i - n : i] in b.ranks]
+    assert len(b.steps) <= bpe.STEPS
+    whole, parts = bpe.Prefixes(b, text), bpe.Prefixes(b)
+    for i in range(0, len(text), 3):
+        parts.append(text[i : i + 3])
+    assert parts.last == whole.last
