@@ -137,22 +137,21 @@ class Model:
         rows[place] = np.concatenate([found[i] for i in order])
         s = np.ascontiguousarray(self.rows[rows].T)  # scores; in place of them what each language is behind the best before the word
         steps = list(zip(begins.tolist(), active.tolist()))
-        v = s[:, : len(lens)].copy()
+        v, best = s[:, : len(lens)].copy(), np.maximum.reduce
         for a, n in steps[1:]:
             head, here = v[:, :n], s[:, a : a + n]
-            head -= head.max(0)
-            behind = head.copy()
-            np.maximum(head, -self.penalty, out=head)
+            behind = head - best(head, 0)
+            np.maximum(behind, -self.penalty, out=head)
             head += here
             here[:] = behind
         moved = s.argmax(0).astype(np.int8)  # the best language before each word
-        stays = s >= -self.penalty
+        # The language before each word, for each that the word may have.
+        came = np.where(s >= -self.penalty, np.arange(len(s), dtype=np.int8)[:, None], moved).T.ravel()
+        at = np.arange(0, len(came), len(s))
         path = np.empty(len(place), np.int8)
         path[place[starts + lens - 1]] = v.argmax(0)
-        each = np.arange(len(lens))
         for (before, _), (a, n) in zip(steps[-2::-1], steps[:0:-1]):
-            now = path[a : a + n]
-            path[before : before + n] = np.where(stays[now, a + each[:n]], now, moved[a : a + n])
+            path[before : before + n] = came.take(at[a : a + n] + path[a : a + n])
         path = path[place]
         for i, a, n in zip(order, starts.tolist(), lens.tolist()):
             out[i] = (found[i], path[a : a + n])
