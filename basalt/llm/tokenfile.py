@@ -215,6 +215,13 @@ def number(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (key >> np.uint64(bits)) << np.uint64(32) | key & np.uint64((1 << bits) - 1), which
 
 
+def once(x: np.ndarray) -> np.ndarray:
+    """The different places of `x`, which is in order or nearly so."""
+    if len(x) > 1 and (x[1:] < x[:-1]).any():
+        x = np.sort(x, kind="stable")
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def compress(tokens: np.ndarray, counts: np.ndarray, first: int, least: int = 4) -> Grammar:
     """Re-Pair: replace frequent pairs by new symbols, again and again, until no pair occurs `least`
     times. A rule is stored as three numbers, so a pair saves space from four occurrences. One round
@@ -226,7 +233,7 @@ def compress(tokens: np.ndarray, counts: np.ndarray, first: int, least: int = 4)
     starts = np.cumsum(counts) - counts
     made = first
     rules: list[np.ndarray] = []
-    pair = np.zeros(len(s), np.int32)  # which pair begins at each place; 0: none that is frequent
+    pair = np.zeros(len(s), np.intp)  # which pair begins at each place; 0: none that is frequent
     whole = np.ones(len(s), bool)  # whether the pair there lies in one document
     ends = np.append(starts[1:], len(s)) - 1
     whole[ends[ends >= 0]] = False
@@ -247,7 +254,7 @@ def compress(tokens: np.ndarray, counts: np.ndarray, first: int, least: int = 4)
         few = few[np.argsort(-n[few], kind="stable")]
         rank = np.full(len(keys), -1, np.int32)
         rank[few] = np.arange(len(few))
-        r = rank[pair]
+        r = rank.take(pair)
         at = np.flatnonzero(r >= 0)
         r = r[at].astype(np.int64)
         beside = np.diff(at) == 1
@@ -260,9 +267,8 @@ def compress(tokens: np.ndarray, counts: np.ndarray, first: int, least: int = 4)
         at, r = at[wins], r[wins]
         hits = np.bincount(r, minlength=len(few)) > 0
         rules.append(keys[few[hits]])
-        beside = np.zeros(len(s), bool)  # pairs that go: the replaced ones and those that overlap them
-        beside[at] = beside[at + 1] = beside[np.maximum(at - 1, 0)] = True
-        n -= np.bincount(pair[beside], minlength=len(n))
+        # Pairs that go: the replaced ones and those that overlap them.
+        n -= np.bincount(pair[once(np.stack([np.maximum(at - 1, 0), at, at + 1], 1).ravel())], minlength=len(n))
         n[0] = 0
         s[at] = (made + np.cumsum(hits) - 1)[r].astype(np.uint32)
         made += int(hits.sum())
@@ -270,9 +276,12 @@ def compress(tokens: np.ndarray, counts: np.ndarray, first: int, least: int = 4)
         starts = starts - np.searchsorted(at, starts)  # each pair replaced before a start moves it by one
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
-        s, pair, whole, beside = s[stay], pair[stay], whole[stay], beside[stay]
+        stay = np.flatnonzero(stay)
+        s, pair, whole = s.take(stay), pair.take(stay), whole.take(stay)
+        at -= np.arange(len(at))
+        beside = once(np.stack([np.maximum(at - 1, 0), at], 1).ravel())
         pair[beside] = 0
-        count(np.flatnonzero(beside & whole))
+        count(beside[whole[beside]])
     rule = np.concatenate(rules) if rules else np.empty(0, np.uint64)
     left, right = (rule >> np.uint64(32)).astype(np.uint32), (rule & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     lengths = np.ones(made, np.uint32)

@@ -391,3 +391,8 @@ def test_bpe_states(monkeypatch):
     for i in range(0, len(text), 3):
         parts.append(text[i : i + 3])
     assert parts.last == whole.last
+
+
+def test_places_once():
+    assert tokenfile.once(np.array([0, 0, 1, 0, 1, 2, 4, 5, 6, 5, 6, 7])).tolist() == [0, 1, 2, 4, 5, 6, 7]
+    assert tokenfile.once(np.empty(0, np.int64)).tolist() == []
