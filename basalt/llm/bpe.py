@@ -73,7 +73,8 @@ class Prefixes:
 class Bpe:
     """Encoder and decoder for the ranks in a file of base64 tokens and ids."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, room: int | None = None):
+        self.room = REMEMBERED if room is None else room  # bytes of chunks and ids remembered
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: t for t, i in self.ranks.items()}
@@ -182,7 +183,7 @@ class Bpe:
             ids = [i for p in self.pattern.findall(chunk) for i in self.piece(p.encode("utf-8", "replace"))]
             packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) <= LONGEST:
-            if self.used > REMEMBERED // 2:
+            if self.used > self.room // 2:
                 self.older, self.chunks, self.used = self.chunks, {}, 0
             self.chunks[chunk] = packed
             self.used += len(chunk) + len(packed) + OBJECTS
@@ -197,26 +198,29 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-_loaded: dict[tuple[str, str], Bpe] = {}
+_loaded: dict[tuple[str, str, int | None], Bpe] = {}
 
 
-def load(path: str, pattern: str) -> Bpe:
+def load(path: str, pattern: str, room: int | None = None) -> Bpe:
     """One encoder for each worker, until another operator works there."""
     take_turn("bpe", _loaded.clear)
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Bpe(path, pattern)
-    return _loaded[path, pattern]
+    key = path, pattern, room
+    if key not in _loaded:
+        _loaded.clear()  # one at a time
+        _loaded[key] = Bpe(*key)
+    return _loaded[key]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", ids: bool = True, room: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, token_ids]) for every row of `docs`: the ids of
     its whole text by the ranks in the file at `path`, which every executor must have, each match of
     `pattern` separately; then decodes them. Digests are of ids as little-endian unsigned 32-bit
     integers and of the decoded bytes. Null text counts as empty: no ids. Null doc_ids and repeated rows
-    are returned as given; an empty table gives no rows; other columns are ignored. No shuffle."""
+    are returned as given; an empty table gives no rows; other columns are ignored. No shuffle. A worker
+    remembers about `room` bytes of words, by default REMEMBERED; with fewer it works longer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path, pattern)
+        bpe = load(path, pattern, room)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)

@@ -74,6 +74,11 @@ def syndromes() -> np.ndarray:
     return out
 
 
+def forget() -> None:
+    cosets.cache_clear()
+    syndromes.cache_clear()
+
+
 def near(word: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each 23-bit word, the code words within RADIUS + room: row, code word, distance beyond RADIUS."""
     start, n, e, over = cosets()
@@ -157,7 +162,7 @@ def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     nodes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_turn("simhash")
+        take_turn("simhash", forget)
         for b in batches:
             fp = b.column("fp").to_numpy()
             for lo in range(0, len(fp), 4096):

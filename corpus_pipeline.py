@@ -14,6 +14,8 @@ from basalt.llm import bpe, exact, langid, mixing, simhash
 from basalt.llm.common import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of words that a worker of byte_bpe remembers: the executors' JVMs stay as large as the stages before made them.
+WORDS = 32 << 20
 
 
 def one_of_each(docs: DataFrame, kept: DataFrame, *also: str) -> DataFrame:
@@ -23,8 +25,8 @@ def one_of_each(docs: DataFrame, kept: DataFrame, *also: str) -> DataFrame:
     first = docs.groupBy("doc_id", key.alias("text_sha256"), *[c for c in also if c in docs.columns]).agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
     kept = kept.select("doc_id", *also).distinct()
     on = first.doc_id.eqNullSafe(kept.doc_id)
-    for c in also:
-        on &= first[c] == kept[c]
+    for c in also:  # neither is null; with == Spark would check that, and for a computed column compute it once more
+        on &= first[c].eqNullSafe(kept[c])
     return first.join(kept, on, "left_semi").select("doc_id", "row.*")
 
 
@@ -72,7 +74,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each row's text, null ids and repeated rows as given; null texts count as empty."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, room=WORDS)
 
 
 STAGES = [

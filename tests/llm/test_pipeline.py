@@ -135,3 +135,32 @@ def test_an_operator_forgets_when_another_takes_its_worker():
     assert model.cache
     model.forget()
     assert not model.cache and not hasattr(model, "rows") and model.predict(["aa bb", "a b ab", None, "12"]) == first
+
+
+def test_byte_bpe_remembers_within_its_room(spark, data, monkeypatch):
+    """The pipeline's last stage works beside JVMs that earlier stages made large: it has less room than the operator, and the same ids."""
+    rooms = []
+    monkeypatch.setattr(bpe, "encode", lambda *a, room=None, **b: rooms.append(room))
+    corpus_pipeline.byte_bpe(spark, None, data)
+    assert rooms == [corpus_pipeline.WORDS] and corpus_pipeline.WORDS < bpe.REMEMBERED
+
+    texts = [" ".join(f"w{i * 7919 % 5003}x{i}" for i in range(k, k + 400)) for k in range(0, 4000, 200)]
+    small, large = bpe.Bpe(BYTE, public_tokenizers.PATTERN, 40_000), bpe.Bpe(BYTE, public_tokenizers.PATTERN)
+    assert [small.packed(t) for t in texts] == [large.packed(t) for t in texts]
+    assert small.used <= 20_000 + bpe.OBJECTS * 2 + 200 and len(small.chunks) + len(small.older) < len(large.chunks) / 5
+
+
+def test_simhash_tables_go_when_another_takes_its_worker():
+    common.take_turn("simhash", simhash.forget)
+    got = simhash.anchors(np.array([5, -9], np.int64), 2)
+    assert simhash.syndromes.cache_info().currsize
+    common.take_turn("bpe")
+    assert not simhash.syndromes.cache_info().currsize and not simhash.cosets.cache_info().currsize
+    assert all((a == b).all() for a, b in zip(got, simhash.anchors(np.array([5, -9], np.int64), 2)))
+
+
+def test_near_dedup_computes_fingerprints_once_a_row(spark, data):
+    """Beside the operator's own, which are written: a second computation in a task would take a second worker."""
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    plan = corpus_pipeline.near_dedup(spark, docs, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("fingerprints(") == 1, plan
