@@ -90,6 +90,21 @@ def test_tokenize_special_tokens_and_memory(monkeypatch):
         assert encoder.used <= 2000 and all(len(c) <= tokenfile.LONGEST for c in encoder.known)
 
 
+def test_words_are_kept_as_numbers_and_ascii_ones_go_to_the_model():
+    """Ids that a worker remembers stand in arrays, and words of a-z skip what the library does before its model."""
+    encoder = tokenfile.Encoder(WORD)
+    words = [w for i in range(300) for w in (f"{chr(97 + i % 26)}qz{chr(97 + i % 25)}" * (1 + i % 40), f"\u00fcber{chr(97 + i % 26)}")]
+    for how in (True, False):
+        encoder.bare = how
+        ids, n = encoder.words(words)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [LIBRARY.encode(w, add_special_tokens=False).ids for w in words]
+    encoder = tokenfile.Encoder(WORD)
+    assert encoder.bare
+    first = encoder.tokenize(pa.array([" ".join(words)]))[0].tolist()
+    assert set(map(type, encoder.known.values())) == {int} and encoder.count == len(encoder.known)
+    assert encoder.tokenize(pa.array([" ".join(words[::-1]), " ".join(words)]))[0].tolist()[-len(first) :] == first
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), max_size=40), min_size=1, max_size=6))
 def test_grammar_round_trip(docs):
