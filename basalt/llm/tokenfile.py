@@ -31,7 +31,7 @@ SIMPLE = rf"^(?P<head>[{LETTERS}]+)(?P<marks>[.,;:!?*%&$#]*)$"
 #: Bytes of chunks and ids remembered by one worker, the objects' own size included; longer chunks aren't remembered.
 REMEMBERED, OBJECTS, LONGEST = 192 << 20, 170, 256
 #: Bytes of texts tokenised at once, about.
-AT_ONCE = 4 << 20
+AT_ONCE = 8 << 20
 MAGIC = b"RPG1"
 
 
