@@ -292,3 +292,15 @@ def test_sweep_deletes_shuffles_of_ended_writes(spark):
         scratch.sweep()
         time.sleep(0.2)
     assert made and not made & held() and kept.count() == 1000
+
+
+def test_places_of_shingles_that_differ_in_low_bits_only():
+    """Places are sorted along in the low bits; shingles that are equal above these must still come out in order."""
+    rng = random.Random(4)
+    for values in ([7, 6, 5, 4], [1 << 40, (1 << 40) + 1, 9], [1 << 63, 3 << 60]):
+        x = np.array([rng.choice(values) for _ in range(50)], np.uint64)
+        got = passages.Places(x)
+        assert got.at.tolist() == sorted(range(len(x)), key=lambda i: (int(x[i]), i))
+        assert got.different.tolist() == sorted(set(x.tolist()))
+    text = "Ab  cé\t漢  x\n"
+    assert len(passages.words(text)) == 4 and (passages.words(text) == np.concatenate([passages.words(w) for w in text.split()])).all()
