@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from math import degrees, pi, sin
+from math import ceil, degrees, pi, sin
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.scratch import keep
+
 
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], inner: bool = True) -> DataFrame:
     """Each left row with the `values` of the latest right row of its key at or before its time. Ties in
@@ -40,11 +42,17 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+#: Rows of a side of a part of a cell, rows that a task takes, pairs that it measures.
+ROWS, TAKEN, MEASURED = 2000, 500_000, 20_000_000
+
+
 def radius_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a: str, lon_a: str, lat_b: str, lon_b: str) -> DataFrame:
     """Pairs within `radius_m` by haversine, anywhere on the globe. A grid of bands as high as the radius
     is cut, band by band, into cells as wide as the radius reaches there (a band near a pole is one
     cell), counted around the globe, so that the date line is no edge. Rows of `b` are copied to the
-    cells beside their own in three bands, then pairs of equal cells are measured."""
+    cells beside their own in three bands, then pairs of equal cells are measured. Of a cell with over `ROWS`
+    rows of a side, that side is dealt to parts and the other is copied to each, so no cell is one task's.
+    Chords decide but for pairs near the radius; those are measured by haversine."""
     half = min(radius_m / EARTH / 2, pi / 2)
     high = max(degrees(2 * half) * 1.001, 1e-6)
 
@@ -56,10 +64,36 @@ def radius_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a: str, lon_a:
     def cell(lon: Column, n: Column) -> Column:
         return F.least((F.pmod(lon + 180, F.lit(360.0)) * n / 360).cast("long"), n - 1)
 
+    def unit(lat: str, lon: str, side: str) -> list[Column]:
+        y, x = F.radians(lat), F.radians(lon)
+        return [(F.cos(y) * F.cos(x)).alias(f"__x{side}"), (F.cos(y) * F.sin(x)).alias(f"__y{side}"), F.sin(y).alias(f"__z{side}")]
+
     band = lambda lat: F.floor((lat + 90) / high)
     left = a.withColumn("__y", band(F.col(lat_a))).withColumn("__x", cell(F.col(lon_a), cells(F.col("__y"))))
     right = b.withColumn("__y", F.explode(F.array(*[band(F.col(lat_b)) + d for d in (-1, 0, 1)])))
     n = cells(F.col("__y"))
     right = right.withColumn("__x", F.explode(F.array_distinct(F.array(*[F.pmod(cell(F.col(lon_b), n) + d, n) for d in (-1, 0, 1)]))))
+
+    counts = [df.groupBy("__y", "__x").agg(F.count("*").alias(c)) for df, c in ((left, "__l"), (right, "__r"))]
+    cells_of = keep(counts[0].join(counts[1], ["__y", "__x"], "full").na.fill(0, ["__l", "__r"]))
+    rows, pairs = cells_of.agg(F.sum(F.col("__l") + F.col("__r")), F.sum(F.col("__l").cast("double") * F.col("__r"))).first()
+    tasks = min(max(ceil((rows or 0) / TAKEN), ceil((pairs or 0) / MEASURED), 1), 10_000)
+    dealt = lambda c: F.greatest(F.ceil(F.col(c) / ROWS), F.lit(1)).alias(c)
+    hot = F.broadcast(cells_of.filter((F.col("__l") > ROWS) | (F.col("__r") > ROWS)).select("__y", "__x", dealt("__l"), dealt("__r")))
+    all_parts = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(c), F.lit(1)) - 1))
+    one_part = lambda df, c: F.pmod(F.xxhash64(*[f for f in df.columns if "map<" not in df.schema[f].dataType.simpleString()]), F.coalesce(F.col(c), F.lit(1)))
+    left = left.join(hot, ["__y", "__x"], "left").withColumn("__i", one_part(a, "__l")).withColumn("__j", all_parts("__r")).drop("__l", "__r")
+    right = right.join(hot, ["__y", "__x"], "left").withColumn("__j", one_part(b, "__r")).withColumn("__i", all_parts("__l")).drop("__l", "__r")
+    key = ["__y", "__x", "__i", "__j"]
+    left = left.select("*", *unit(lat_a, lon_a, "a")).repartition(tasks, *key)
+    right = right.select("*", *unit(lat_b, lon_b, "b")).repartition(tasks, *key)
+
+    square = lambda c: (F.col(f"__{c}a") - F.col(f"__{c}b")) * (F.col(f"__{c}a") - F.col(f"__{c}b"))
+    chord, most = square("x") + square("y") + square("z"), 4 * sin(half) ** 2
+    unsure = most * 1e-9 + 1e-14 * most**0.5 + 1e-28
     metres = haversine(F.col(lat_a), F.col(lon_a), F.col(lat_b), F.col(lon_b))
-    return left.join(right, ["__y", "__x"]).drop("__y", "__x").withColumn("metres", metres).filter(F.col("metres") <= radius_m)
+    near = (chord <= most + unsure) & ((chord < most - unsure) | (metres <= radius_m))
+    if radius_m >= pi * EARTH:
+        near = metres <= radius_m
+    found = left.join(right.hint("merge"), key).filter(near)
+    return found.drop(*key, *[f"__{c}{s}" for c in "xyz" for s in "ab"]).withColumn("metres", metres)

@@ -112,3 +112,25 @@ def test_merge_with_null_keys(spark):
     t = spark.createDataFrame([(None, "a"), (1, "b"), (2, "c")], "k long, v string")
     s = spark.createDataFrame([(None, "x"), (2, "y")], "k long, v string")
     assert rows(tables.merge(t, s, ["k"])) == rows(spark.createDataFrame([(None, "x"), (1, "b"), (2, "y")], "k long, v string"))
+
+
+def test_radius_join_deals_a_cell_to_parts(spark, monkeypatch):
+    """All rows near a pole are in one cell, which is no single task's."""
+    monkeypatch.setattr(joins, "ROWS", 20)
+    monkeypatch.setattr(joins, "MEASURED", 2000)
+    at = spark.range(200).selectExpr("id AS i", "90 - id * 37 % 200 / 40.0D AS la", "id * 91 % 360 - 180.0D AS lo")
+    b = at.select(F.col("i").alias("j"), F.col("la").alias("lb"), F.col("lo").alias("lp"))
+    got = joins.radius_join(at, b, 500_000.0, "la", "lo", "lb", "lp")
+    want = at.crossJoin(b).withColumn("metres", joins.haversine(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp"))).filter("metres <= 500000")
+    assert rows(got) == rows(want) and got.columns == want.columns
+    tasks = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) > 4 and max(tasks) < sum(tasks) / 3
+
+
+def test_radius_join_keeps_pairs_at_the_radius(spark):
+    """Points apart by the radius itself, by haversine's own rounding."""
+    at = spark.range(2000).selectExpr("id AS i", "id % 50 - 25.0D AS la", "id * 7 % 40 * 1.0D AS lo")
+    b = at.select(F.col("i").alias("j"), F.col("la").alias("lb"), F.col("lo").alias("lp")).filter("j < 300")
+    both = at.crossJoin(b).withColumn("metres", joins.haversine(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp")))
+    for radius in [both.filter(f"i = {i} AND j = 3").first()["metres"] for i in (4, 57)]:
+        assert rows(joins.radius_join(at, b, radius, "la", "lo", "lb", "lp").select("i", "j")) == rows(both.filter(F.col("metres") <= radius).select("i", "j"))
