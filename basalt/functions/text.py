@@ -55,10 +55,21 @@ def words(text: Column) -> Tokens:
     return F.filter(parts, lambda w: w != "")
 
 
+def kept_words(text: Column) -> Tokens:
+    """The words that are no stop words."""
+    return F.filter(words(text), lambda w: ~w.isin(STOP_WORDS))
+
+
 def tokens(text: Column, language: str = "english") -> Tokens:
     """Stems of the words that are no stop words, in order; a token's position is its index."""
-    kept = F.filter(words(text), lambda w: ~w.isin(STOP_WORDS))
-    return F.transform(kept, lambda w: stem(w, language))
+    return F.transform(kept_words(text), lambda w: stem(w, language))
+
+
+def stems_to(word: Column, term: str, language: str = "english") -> Column:
+    """Whether the word's stem is `term`. A stem is its word up to the ending that a rule gives, so only words that begin as
+    the term does are stemmed."""
+    most = max(len(ending) for rules in SUFFIXES[language] for ending in rules[2:])
+    return F.when(word.startswith(term[: max(0, len(term) - most)]), stem(word, language) == term).otherwise(False)
 
 
 # Analyzer stages: text to text, text to tokens, tokens to tokens.

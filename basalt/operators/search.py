@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from operator import add, and_, or_
+from operator import add, and_, eq, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,20 @@ def build(docs: DataFrame, doc: str, text: str, tokens: Callable[[Column], Colum
     return Index(postings, rows.select("doc", F.size("t").alias("length")))
 
 
+def term_counts(docs: DataFrame, doc: str, text: str, tokens: Callable[[Column], Column] = analysis.tokens) -> DataFrame:
+    """(term, docs, n) over the postings of build(): documents with the term and occurrences. A row's own tokens are sorted
+    and the first of each run counts for the document, so all combines by term before the shuffle; only where ids of
+    documents repeat are postings made."""
+    ids = docs.groupBy(doc).agg(F.count("*").alias("n")).filter("n > 1")
+    if not ids.isEmpty():
+        return build(docs, doc, text, tokens).postings.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("n"))
+    t = F.sort_array(tokens(F.col(text)))
+    # outer, as Spark would put a filter on the size of other arrays below, which cuts texts once more
+    runs = docs.select(t.alias("t")).select(F.posexplode_outer("t").alias("pos", "term"), "t").filter("term IS NOT NULL")
+    first = (F.col("pos") == 0) | (F.get("t", F.col("pos") - 1) != F.col("term"))
+    return runs.select("term", first.cast("long").alias("first")).groupBy("term").agg(F.sum("first").alias("docs"), F.count("*").alias("n"))
+
+
 def terms(query: str, spark) -> list[str]:  # noqa: ANN001
     """The query's distinct terms, in order."""
     found = spark.range(1).select(analysis.tokens(F.lit(query))).first()[0]
@@ -53,12 +67,14 @@ def bm25(index: Index, wanted: list[str], k: int | None = None, require_all: boo
 
 
 def bm25_scan(
-    docs: DataFrame, doc: str, text: str, wanted: list[str], k: int | None = None, require_all: bool = False, tokens: Callable[[Column], Column] = analysis.tokens, k1: float = 1.2, b: float = 0.75
-) -> DataFrame:
+    docs: DataFrame, doc: str, text: str, wanted: list[str], k: int | None = None, require_all: bool = False, tokens: Callable[[Column], Column] = analysis.tokens, k1: float = 1.2, b: float = 0.75,
+    match: Callable[[Column, str], Column] = eq,
+) -> DataFrame:
     """As bm25(), without an index: texts are cut once, and only a length and the counts of the wanted
-    terms are written for each document; statistics (one row) and scores come from those. No shuffle but the last sort."""
+    terms are written for each document; statistics (one row) and scores come from those. No shuffle but the last sort.
+    `match` says whether a token is a wanted term, where tokens aren't terms themselves."""
     rows = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("t"))
-    count = lambda w: F.size(F.filter("t", lambda x: x == w))
+    count = lambda w: F.size(F.filter("t", lambda x: match(x, w)))
     rows = keep(rows.select("doc", F.size("t").alias("length"), *[count(w).alias(f"tf{i}") for i, w in enumerate(wanted)]))
     rows = rows.filter("length > 0")
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]).first()
